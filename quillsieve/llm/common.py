@@ -113,3 +113,16 @@ def even_tree(parts: int, width: int = 32) -> list[int]:
         parts = math.ceil(parts / width)
         steps.append(parts)
     return steps
+
+
+def id_ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[Column, list]:
+    """The number of a row's range of ids, from cuts at approximate quantiles (at most parts - 1 of them), and the cuts.
+
+    Numbers rise with the id, 0 to the count of cuts; null ids are in range 0.
+    """
+    cuts = docs.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("q")).first().q
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return F.lit(0), []
+    edges, key = F.array(*map(F.lit, cuts)), F.col(id_col)
+    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda e: e <= key))), cuts

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import even_tree, fresh, staged
 
 COUNTERS = 1024
@@ -46,6 +47,7 @@ def _summaries(counters: int):
 
 def heavy_hitters(keys: DataFrame, column: str, counters: int = COUNTERS) -> list[bytes]:
     """Values of a binary column, at most `counters`, among them all that more than 1 row in counters + 1 has."""
+    ship(keys.sparkSession)
     found = keys.select(F.col(column).alias("k"), F.lit(1).cast("long").alias("n")).mapInArrow(_summaries(counters), "k binary, n long")
     for parts in even_tree(max(1, keys.rdd.getNumPartitions())):
         found = found.repartition(parts).mapInArrow(_summaries(counters), "k binary, n long")

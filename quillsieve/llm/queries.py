@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, winnowing
+from . import exact_dedup, mixing, pii, token_io, winnowing
 from .common import staged, table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     narrow = staged(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "sizes")
@@ -18,6 +24,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("size"), "source_size", "target", "taken")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_io.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_io.read(spark, folder)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +43,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_token_files": op2_token_files,
     "op3_pii": op3_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_winnowing": op10_winnowing,

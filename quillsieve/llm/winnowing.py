@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh
+from .common import SPACE, fresh, id_ranges
 
 K = 5
 WINDOW = 4
@@ -113,9 +113,7 @@ def with_next(docs: DataFrame, id_col: str, text: str, prepare, carried: list[st
     parts = 3 * tasks
     part, copy, wraps = fresh(docs, "range_no", "range_copy", "range_wraps")
     key = F.col(id_col)
-    cuts = docs.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first().q
-    edges = F.array(*map(F.lit, sorted(set(cuts or []))))
-    place = F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda e: e <= key))) if cuts else F.lit(0)
+    place, _ = id_ranges(docs, id_col, parts)
     heads = sorted(docs.select(place.alias("part"), key.alias("id")).groupBy("part").agg(F.min(F.struct("id")).alias("head")).collect())
     rows = docs.withColumn(part, place)
     copies = F.array(F.struct(F.col(part).alias("p"), F.lit(0).alias("w")))
