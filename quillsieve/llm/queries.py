@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, pii, token_io, winnowing
+from . import exact_dedup, minhash, mixing, pii, quality, token_io, winnowing
 from .common import staged, table
 
 
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_winnowing": op10_winnowing,
 }
 
