@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, pii, quality, token_io, winnowing, wrapper
+from . import exact_dedup, minhash, mixing, pieces, pii, quality, token_io, winnowing, wrapper
 from .common import staged, table
 
 
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.main_texts(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pieces": op7_pieces,
     "op8_wrapper": op8_wrapper,
     "op9_quality": op9_quality,
     "op10_winnowing": op10_winnowing,
