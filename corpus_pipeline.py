@@ -1,13 +1,60 @@
-"""A training-data pipeline over `documents`."""
+"""A training-data pipeline over `documents`: quality, exact and near duplicates, mixture, pieces.
+
+Each stage takes what its predecessor kept; all but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quillsieve.llm import exact_dedup, minhash, mixing, pieces, quality
+from quillsieve.llm.common import staged, table
+from quillsieve.llm.queries import tokenizer_file
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id stays."""
+    return exact_dedup.dedup(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by 80 % of their five-word shingles, the row with the least id stays."""
+    return minhash.dedup(docs, width=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document taken twice is two rows."""
+    return mixing.repeated(docs)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, with the check that they give the text back."""
+    rows, new = pieces.encoded(docs.select("doc_id", "source", "text"), tokenizer_file("piece_bpe_32k.model"))
+    back = rows["text"].isNull() | (rows[new["decoded"]] == rows["text"])
+    return rows.select("doc_id", "source", rows[new["n_pieces"]].alias("n_pieces"), rows[new["ids_crc32"]].alias("ids_crc32"), rows[new["ids"]].alias("ids"), back.alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("sentencepiece", pieces_stage),
+]
+
+#: The classifier is fitted, which SQL can't express; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{k}")
     return docs

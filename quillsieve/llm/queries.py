@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, pieces, pii, quality, token_io, winnowing, wrapper
+from . import chat, exact_dedup, minhash, mixing, pieces, pii, quality, token_io, winnowing, wrapper
 from .common import staged, table
 
 
@@ -37,6 +37,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.annotate(table(spark, sf_dir, "documents"))
 
 
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_pii": op3_pii,
     "op4_minhash": op4_minhash,
+    "op5_perspectives": op5_perspectives,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pieces": op7_pieces,
     "op8_wrapper": op8_wrapper,
@@ -70,6 +75,60 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_mixing": """
+        WITH sizes AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                   substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS key
+            FROM documents
+        ), by_source AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
+        ), caps AS (
+            SELECT *, CAST(3 * source_size AS DOUBLE) AS cap,
+                   CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+            FROM by_source
+        ), tries AS (
+            SELECT *, cap / weight AS level,
+                   (sum(source_size) OVER () - coalesce(sum(cap) OVER below, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS try
+            FROM caps WINDOW below AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), water AS (
+            SELECT try AS water FROM tries WHERE try <= level ORDER BY level, source NULLS FIRST LIMIT 1
+        ), targets AS (
+            SELECT source, source_size, coalesce(least(cap, weight * (SELECT water FROM water)), cap) AS target FROM tries
+        ), parts AS (
+            SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM targets
+        ), keys AS (
+            SELECT source, key, sum(size) AS size FROM sizes GROUP BY ALL
+        ), placed AS (
+            SELECT source, key, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keys
+        ), taken AS (
+            SELECT k.source, k.key, CASE WHEN k.size = 0 THEN 0.0 ELSE greatest(0, least(k.size, round(p.target - p.whole * p.source_size) - k.before)) / k.size END AS share
+            FROM placed k JOIN parts p ON k.source IS NOT DISTINCT FROM p.source
+        )
+        SELECT s.doc_id, s.size, p.source_size, p.target, CAST(s.size * p.whole + floor(s.size * t.share + 1e-9) AS BIGINT) AS taken
+        FROM sizes s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source JOIN taken t ON s.source IS NOT DISTINCT FROM t.source AND s.key = t.key
+    """,
+    "op5_perspectives": """
+        WITH turns AS (
+            SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations
+        ), who AS (
+            SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
+        ), seen AS (
+            SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+            FROM turns t JOIN who w ON t.conv_id IS NOT DISTINCT FROM w.conv_id
+        ), heads AS (
+            SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM seen
+        ), segments AS (
+            SELECT *, head || words || '<|im_end|>' || chr(10) AS segment FROM heads
+        ), placed AS (
+            SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, words
+                                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+            FROM segments
+        )
+        SELECT conv_id, perspective, turn, role, speaker AS name, segment, start, start + length(segment) AS "end",
+               CASE WHEN role = 'assistant' THEN start + length(head) END AS trained_start,
+               CASE WHEN role = 'assistant' THEN start + length(segment) - 1 END AS trained_end
+        FROM placed
+    """,
     "op4_minhash": """
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
