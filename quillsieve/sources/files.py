@@ -89,12 +89,30 @@ def listing(spark: SparkSession, paths: list[str], settings: dict) -> DataFrame:
     return spark.createDataFrame(rows, "ord long, kind string, path string, suffix string, length long")
 
 
-def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, length, content of files, read by the executors; a filter on length alone reads no content."""
-    if not paths:
-        return spark.createDataFrame([], "path string, length long, content binary")
-    read = spark.read.format("binaryFile").load([Path(p).resolve().as_uri() for p in paths])
-    return read.select(F.url_decode(F.regexp_replace("path", "^file:/+", "/")).alias("path"), "length", "content")
+def _read(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for k, path in enumerate(batch.column(0).to_pylist()):  # one at a time: files can be large
+            try:
+                with open(path, "rb") as file:
+                    content, failed = file.read(), None
+            except OSError as error:
+                content, failed = None, "skipped (permission denied)" if isinstance(error, PermissionError) else "skipped (i/o error)"
+            yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns), pa.array([content], pa.binary()), pa.array([failed], pa.string())], [*batch.schema.names, "content", "failed"])
+
+
+def contents(listed: DataFrame) -> DataFrame:
+    """listed (path first) with content, or with what failed; the executors read, from a file system they share.
+
+    Spark's own binary source leaves out names that begin with a dot or an underscore.
+    """
+    from ..shipping import ship
+
+    ship(listed.sparkSession)
+    schema = ", ".join(f"`{c}` {listed.schema[c].dataType.simpleString()}" for c in listed.columns)
+    tasks = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(tasks).mapInArrow(_read, f"{schema}, content binary, failed string")
 
 
 def first_of_each(files: DataFrame, real: str = "realpath", order: str = "ord") -> DataFrame:

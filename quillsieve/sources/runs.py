@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -41,25 +40,21 @@ def scan(spark: SparkSession, paths: list[str], settings: dict, write: bool) ->
         elif r.length is not None and r.length > limit:
             out[r.ord] = skipped(r.path, "skipped (larger than max_file_bytes)")
         else:
-            try:
-                open(r.path, "rb").close()
-            except OSError as error:
-                out[r.ord] = skipped(r.path, "skipped (permission denied)" if isinstance(error, PermissionError) else "skipped (i/o error)")
-                continue
             todo["text" if r.kind == "text" else "binary"].append(r)
     for kind, some in todo.items():
         if not some:
             continue
-        real = {str(Path(r.path).resolve()): r for r in some}
-        table = spark.createDataFrame([(p, r.ord, r.path, r.suffix) for p, r in real.items()], "real string, ord long, given string, suffix string")
-        read = files.contents(spark, [r.path for r in some]).join(F.broadcast(table), F.col("path") == F.col("real"))
+        held = files.contents(spark.createDataFrame([(r.path, r.ord, r.suffix) for r in some], "path string, ord long, suffix string")).persist()
+        for r in held.where(F.col("failed").isNotNull()).select("ord", "path", "failed").collect():
+            out[r.ord] = skipped(r.path, r.failed)
+        read = held.where(F.col("failed").isNull())
         if kind == "text":
-            texts = read.select("ord", F.col("given").alias("path"), files.text_of(F.col("content")).alias("text"))
+            texts = read.select("ord", "path", files.text_of(F.col("content")).alias("text"))
             done = clean(texts, settings=settings).select("ord", "path", "report", F.when(F.col("report.changed"), F.encode("cleaned", "UTF-8")).alias("cleaned")).cache()
             for r in done.select("ord", "path", "report").collect():
                 out[r.ord] = (_plain(r.report) if r.report else skipped(r.path, "skipped (not utf-8 text)")) | {"path": r.path}
         else:
-            done = binary.stripped(read.withColumn("at", F.col("given")), "ord", "at", strip_icc=settings["strip_icc"], write=write).withColumnRenamed("at", "path").cache()
+            done = binary.stripped(read, "ord", "path", strip_icc=settings["strip_icc"], write=write).cache()
             for r in done.select("ord", "path", F.col("cleaned").isNotNull().alias("changed"), "findings").collect():
                 found = [_plain(f) for f in r.findings]
                 out[r.ord] = report("", "", found) | {"path": r.path, "changed": r.changed}
@@ -74,6 +69,7 @@ def scan(spark: SparkSession, paths: list[str], settings: dict, write: bool) ->
                 mine["findings"] = [*mine["findings"], binary.finding("write" if "refused" in r.failed else "read", "warn", r.failed, layer="io")]
                 mine["counts"] = report("", "", mine["findings"])["counts"]
         done.unpersist()
+        held.unpersist()
     return [out[k] for k in sorted(out)]
 
 
