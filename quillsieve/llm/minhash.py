@@ -9,8 +9,8 @@ chance that it reaches the threshold falls below `miss`. Survivors are verified
 Groups stay whole without listing their pairs. First every node is compared with one node alone,
 the least of most of its buckets (its pivot); the links give components. Then only buckets that
 still hold several components are searched, for pairs across components, in blocks of bounded
-size, and only a few pairs of each node at a time while links keep being found. When no pair
-across components is left, each component is the same as all links would give.
+size: a few pairs of each node at first, as their links spare others, then all that are left. When
+no pair across components is left, each component is the same as all links would give.
 
 Defined results: words are runs without blanks, with A-Z in lower case; a text with fewer words
 than a shingle is one shingle; without words or with a null text the set is empty and linked with
@@ -39,7 +39,7 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
 BLOCK = 1024  # nodes of a bucket that are compared with as many others in one step
-FEW = 4  # pairs of a node that are verified in one round
+FEW = (4, 32)  # pairs of a node that are verified in the first rounds; then all
 
 _rng = np.random.default_rng(20_240_611)
 TURN = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -120,25 +120,32 @@ def survivors(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> tup
     return alive, matches
 
 
+def near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Sets whose sizes differ too much can't be alike enough."""
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
 def _rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint32).reshape(len(column), -1)
 
 
-def _prune(steps: list[tuple[int, int]]):
-    """Rows pivot, node, side, sig in runs of one pivot, itself first (side 0): the pairs that pass."""
+def _prune(steps: list[tuple[int, int]], percent: int):
+    """Rows pivot, node, side, size, sig in runs of one pivot, itself first (side 0): the pairs that pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            pivot, node, side = (batch.column(i).to_numpy() for i in (0, 1, 2))
-            sig = _rows(batch.column(3))
+            pivot, node, side, size = (batch.column(i).to_numpy() for i in range(4))
+            sig = _rows(batch.column(4))
             if held is not None:
-                pivot, node, side, sig = np.append(held[0], pivot), np.append(held[1], node), np.append(0, side), np.vstack([held[2], sig])
+                pivot, node, side, size = (np.append(x, y) for x, y in zip(held[:4], (pivot, node, side, size), strict=True))
+                sig = np.vstack([held[4], sig])
             at = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), 0))
-            held = pivot[at[-1]], node[at[-1]], sig[at[-1]][None]
+            held = *(x[at[-1]] for x in (pivot, node, side, size)), sig[at[-1]][None]
             members = np.flatnonzero(side)
+            members = members[near_sizes(size[at[members]], size[members], percent)]
             alive, _ = survivors(sig[at[members]], sig[members], steps)
             yield pa.RecordBatch.from_arrays([pa.array(pivot[members][alive]), pa.array(node[members][alive])], ["a", "b"])
 
@@ -175,25 +182,25 @@ def _against_pivots(pairs: DataFrame, payload: DataFrame, run: Callable) -> Data
     sides = salted.select("a", "place", F.col("b").alias("node"), F.lit(1).alias("side"))
     sides = sides.unionByName(salted.select("a", "place", F.col("a").alias("node"), F.lit(0).alias("side")).distinct())
     rows = payload.join(small(sides, sides.count()), "node").repartition(tasks, "a", "place").sortWithinPartitions("a", "place", "side", "node")
-    return rows.select("a", "node", "side", payload.columns[1]).mapInArrow(run, "a long, b long")
+    return rows.select("a", "node", "side", *payload.columns[1:]).mapInArrow(run, "a long, b long")
 
 
 # --- pairs across components --------------------------------------------------------------------
 
 
-def _across(steps: list[tuple[int, int]], few: int):
-    """Rows b0, b1, bucket, half, node, comp, sig in runs of one block pair: pairs across components that pass.
+def _across(steps: list[tuple[int, int]], few: int, percent: int):
+    """Rows b0, b1, bucket, half, node, comp, size, sig in runs of one block pair: pairs across components that pass.
 
     half tells the block: 0 the first, 1 the second; a pair of a block with itself has halves 0 alone.
     `cut` marks pairs of a run whose further pairs were put off.
     """
 
-    def step(half: np.ndarray, node: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[list, list, bool]:
+    def step(half: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list, list, bool]:
         a, b, left = [], [], False
         one, two = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
         for k, i in enumerate(one):
             rest = two if len(two) else one[k + 1 :]
-            rest = rest[comp[rest] != comp[i]]
+            rest = rest[(comp[rest] != comp[i]) & near_sizes(size[rest], size[i], percent)]
             if not len(rest):
                 continue
             passed, matches = survivors(np.broadcast_to(sig[i], (len(rest), sig.shape[1])), sig[rest], steps)
@@ -208,12 +215,12 @@ def _across(steps: list[tuple[int, int]], few: int):
 
         def done(rows: pa.Table) -> pa.RecordBatch:
             keys = np.stack([rows.column(i).to_numpy() for i in range(3)])
-            half, node, comp = (rows.column(i).to_numpy() for i in (3, 4, 5))
-            sig = _rows(rows.column(6).combine_chunks() if rows.num_rows else pa.array([], pa.binary()))
+            half, node, comp, size = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
+            sig = _rows(rows.column(7).combine_chunks() if rows.num_rows else pa.array([], pa.binary()))
             edges = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True])
             out: list[list] = [[], [], []]
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                a, b, left = step(half[s:e], node[s:e], comp[s:e], sig[s:e])
+                a, b, left = step(half[s:e], node[s:e], comp[s:e], size[s:e], sig[s:e])
                 out[0] += a
                 out[1] += b
                 out[2] += [left] * len(a)
@@ -262,22 +269,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
-    """sigs: node, sig; texts: node, text. Edges (a, b) that connect what all links of at least `percent` connect."""
+    """sigs: node, size, sig; texts: node, text. Edges (a, b) that connect what all links of at least `percent` connect."""
     spark = sigs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = least_matches(percent / 100, miss)
-    size = 4 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * size + 1, F.lit(size))))
+    width_of = 4 * ROWS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width_of + 1, F.lit(width_of))))
     banded = sigs.select("node", F.explode(bands).alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = staged(banded.join(buckets, "bucket"), "buckets")
     votes = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("pivot"))).alias("best"))
     pairs = best.select((-F.col("best.pivot")).alias("a"), F.col("node").alias("b"))
-    pruned = staged(_against_pivots(staged(pairs, "pairs"), sigs, _prune(steps)), "pairs")
+    pruned = staged(_against_pivots(staged(pairs, "pairs"), sigs, _prune(steps, percent)), "pairs")
     found = staged(_against_pivots(pruned, texts, _verify(width, percent)), "links")
-    few = FEW
-    while True:
+    tested = pruned
+    for few in (*FEW, 0):
         comp = components(found)
         marked = shared.join(comp, "node", "left").select("bucket", "node", "members", F.coalesce("comp", "node").alias("comp"))
         marked = staged(marked, "marked")
@@ -286,17 +293,16 @@ def links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, miss: flo
         n = F.ceil(F.col("members") / BLOCK).cast("int")
         rows = rows.withColumn("n", n).withColumn("mine", F.pmod(F.hash("node"), F.col("n")))
         rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        rows = rows.select(F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "bucket", (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "comp", "sig")
+        rows = rows.select(F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "bucket", (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "comp", "size", "sig")
         rows = rows.repartition(tasks, "b0", "b1", "bucket").sortWithinPartitions("bucket", "b0", "b1", "half", "node")
-        more = staged(rows.mapInArrow(_across(steps, few), "a long, b long, cut boolean"), "pairs")
+        more = staged(rows.mapInArrow(_across(steps, few, percent), "a long, b long, cut boolean"), "pairs")
         put_off = not more.where("cut").isEmpty()
-        new = staged(_against_pivots(staged(more.select("a", "b").distinct(), "pairs"), texts, _verify(width, percent)), "links")
-        none = new.isEmpty()
-        if not none:
-            found = found.unionByName(new)
+        fresh_pairs = staged(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(fresh_pairs)
+        found = found.unionByName(staged(_against_pivots(fresh_pairs, texts, _verify(width, percent)), "links"))
         if not put_off:
-            return found
-        few = 0 if none else few
+            break
+    return found
 
 
 def grouped(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
@@ -311,10 +317,10 @@ def grouped(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "d
     base = staged(signed, "signed")
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("best")
     full = base.where(F.col(key).isNotNull())
-    classes = full.groupBy(key).agg(best, F.first(sig).alias("sig"))
-    classes = staged(classes.select(F.col(key).alias("key"), F.col("best.row").alias("node"), "best", "sig"), "classes")
+    classes = full.groupBy(key).agg(best, F.first(n).alias("size"), F.first(sig).alias("sig"))
+    classes = staged(classes.select(F.col(key).alias("key"), F.col("best.row").alias("node"), "best", "size", "sig"), "classes")
     text = base.select(F.col(row).alias("node"), F.col(text_col).alias("text"))
-    found = links(classes.select("node", "sig"), text, width, percent, miss)
+    found = links(classes.select("node", "size", "sig"), text, width, percent, miss)
     comp = components(found)
     labelled = classes.join(comp, "node", "left").select("key", "best", F.coalesce("comp", "node").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("best").alias("best"))
