@@ -45,7 +45,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _clean(how: dict, home: str | None):
+def _clean(how: dict, home: str | None, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = load(home)
         for batch in batches:
@@ -61,7 +61,7 @@ def _clean(how: dict, home: str | None):
                 made["findings"] = [f | {"by_rule": list(f["by_rule"].items())} for f in findings]
                 reports.append(made)
             columns = [*batch.columns[1:], pa.array(cleaned, pa.string()), pa.array(reports, REPORT_ARROW)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "cleaned", "report"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], *names])
 
     return run
 
@@ -72,7 +72,7 @@ def clean(df: DataFrame, text_col: str = "text", settings: dict | None = None, r
     names = fresh(df, "cleaned", "report")
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns] + [f"`{names[0]}` string", f"`{names[1]}` {REPORT}"])
     rows = df.select(F.col(text_col).cast("string").alias("clean_text__"), *[F.col(f"`{c}`") for c in df.columns])
-    return rows.mapInArrow(_clean(options.checked(settings or {}), rules_home), schema)
+    return rows.mapInArrow(_clean(options.checked(settings or {}), rules_home, names), schema)
 
 
 def _normalize(form: str):

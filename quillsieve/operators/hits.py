@@ -41,16 +41,16 @@ def _rows(make, how: dict, kind, *more):
         one = make(how, *more)
         for batch in batches:
             made = [one(t) if t is not None else [] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, kind)], [*batch.schema.names[1:], "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, kind)], [*batch.schema.names[1:], "hits_found__"])
 
     return run
 
 
 def _found(df: DataFrame, text_col: str, keys: list[str], run, kind: str) -> DataFrame:
     ship(df.sparkSession)
-    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"found array<{kind}>"])
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"hits_found__ array<{kind}>"])
     rows = df.select(F.col(text_col).cast("string").alias("hits_text__"), *keys).mapInArrow(run, schema)
-    return rows.select(*keys, F.posexplode("found").alias("ord", "found")).select(*keys, "ord", "found.*")
+    return rows.select(*keys, F.posexplode("hits_found__").alias("ord", "hits_found__")).select(*keys, "ord", "hits_found__.*")
 
 
 def phrases(df: DataFrame, *keys: str, text_col: str = "text", settings: dict | None = None) -> DataFrame:
