@@ -79,7 +79,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(width: int):
+def _sign(width: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, signatures = [], [], []
@@ -87,7 +87,7 @@ def _sign(width: int):
                 n.append(len(s))
                 keys.append(np.array([ragged.mixed(s ^ PLACE[-1]).sum(), ragged.mixed(s ^ PLACE[-2]).sum() + np.uint64(len(s))], np.uint64).tobytes() if len(s) else None)
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], [*batch.schema.names[1:], "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], [*batch.schema.names[1:], *names])
 
     return run
 
@@ -312,8 +312,7 @@ def grouped(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "d
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     names = numbered.columns
     schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in names)
-    signed = numbered.select(F.col(text_col).cast("string").alias("near_text__"), *[F.col(f"`{c}`") for c in names]).mapInArrow(_sign(width), f"{schema}, n long, key binary, sig binary")
-    signed = signed.toDF(*names, n, key, sig)
+    signed = numbered.select(F.col(text_col).cast("string").alias("near_text__"), *[F.col(f"`{c}`") for c in names]).mapInArrow(_sign(width, [n, key, sig]), f"{schema}, `{n}` long, `{key}` binary, `{sig}` binary")
     base = staged(signed, "signed")
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("best")
     full = base.where(F.col(key).isNotNull())

@@ -318,7 +318,7 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
-def _encode(path: str, lists: bool):
+def _encode(path: str, new: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.of(path)
         for batch in batches:
@@ -328,10 +328,9 @@ def _encode(path: str, lists: bool):
                 wide = ids.astype("<u4")
                 sums = [zlib.crc32(wide[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 columns = [*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), strings(data, offsets)]
-                names = [*batch.schema.names[1:], "n_pieces", "ids_crc32", "decoded"]
-                if lists:
+                names = [*batch.schema.names[1:], *new]
+                if len(new) > 3:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
-                    names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -344,7 +343,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", with_ids: bool =
     names = dict(zip(kinds, fresh(docs, *kinds), strict=True))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns] + [f"`{names[c]}` {k}" for c, k in kinds.items()])
     rows = docs.select(F.col(text_col).cast("string").alias("pieces_text__"), *[F.col(f"`{c}`") for c in docs.columns])
-    return rows.mapInArrow(_encode(path, with_ids), schema), names
+    return rows.mapInArrow(_encode(path, list(names.values())), schema), names
 
 
 def report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

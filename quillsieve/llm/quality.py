@@ -172,11 +172,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x[y == 1], x[y == 0], seen[0] / (seen[0] + seen[1]))
 
 
-def _score(model: Model):
+def _score(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.score(features(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], [*batch.schema.names[1:], name])
 
     return run
 
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataF
     (score,) = fresh(docs, "score")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
     rows = docs.select(F.col(text_col).cast("string").alias("quality_text__"), *[F.col(f"`{c}`") for c in docs.columns])
-    return rows.mapInArrow(_score(model), f"{schema}, `{score}` double"), score
+    return rows.mapInArrow(_score(model, score), f"{schema}, `{score}` double"), score
 
 
 def annotate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

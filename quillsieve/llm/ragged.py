@@ -96,11 +96,11 @@ class Memo:
     """
 
     def __init__(self, dtype, most: int = 1 << 20) -> None:
-        self.bits = max(10, (2 * most - 1).bit_length())
-        self.most, self.dtype = most, dtype
+        self.least, self.dtype = most, dtype
         self.clear()
 
     def clear(self) -> None:
+        self.most, self.bits = self.least, max(10, (2 * self.least - 1).bit_length())
         size = 1 << self.bits
         self.one, self.two = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.slot = np.full(size, -1, np.int32)
@@ -154,7 +154,7 @@ class Memo:
             while len(missing):
                 _, first = np.unique(one[missing], return_index=True)
                 new = missing[first]
-                if self.n + len(new) > self.most:
+                while self.n + len(new) > self.most:
                     self.grow()
                 self.add(one[new], two[new], work([data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
                 slot[missing] = self.find(one[missing], two[missing])
