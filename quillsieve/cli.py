@@ -12,18 +12,17 @@ from .functions import settings as options
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quillsieve", description="Cleans texts, images and office files.")
-    top.add_argument("--version", action="version", version=f"quillsieve {__version__}")
-    commands = top.add_subparsers(dest="command", required=True)
-    for name in ("check", "fix"):
-        p = commands.add_parser(name)
+    top.add_argument("--version", version=f"quillsieve {__version__}", action="version")
+    commands = top.add_subparsers(required=True, dest="command")
+    for p in map(commands.add_parser, ("fix", "check")):
         p.add_argument("paths", nargs="*", help="files or folders, or - for standard input; by default this folder")
         p.add_argument("--config")
-        for flag in ("json", "no-voice", "aggressive", "no-backup", "quiet", "strict"):
+        for flag in "aggressive json no-backup no-voice quiet strict".split():
             p.add_argument(f"--{flag}", action="store_true")
     p = commands.add_parser("rewrite", help="translate to another language and back (sends texts to a service)")
     p.add_argument("paths", nargs="+")
     p.add_argument("--source-lang")
-    p.add_argument("--pivot-lang", default="EN")
+    p.add_argument("--pivot-lang", metavar="LANG", default="EN")
     p.add_argument("--write", action="store_true")
     p.add_argument("--config")
     return top
@@ -51,7 +50,7 @@ def _scan(args: argparse.Namespace) -> int:
     where = sys.stdout
     if "-" in paths:
         if len(paths) > 1:
-            print("stdin (-) cannot be combined with file paths", file=sys.stderr)
+            sys.stderr.write("stdin (-) cannot be combined with file paths\n")
             return 2
         one, content = runs.clean_bytes(sys.stdin.buffer.read(), how)
         reports = [one]
@@ -84,9 +83,9 @@ def _rewrite(args: argparse.Namespace, client=None) -> int:
             if args.write:
                 sink.replace_file(path, made.encode("utf-8"))
             print(f"rewritten  {path}" if args.write else made)
-        except Exception as error:
-            print(f"error  {path}: {error}", file=sys.stderr)
+        except Exception as failure:
             code = 1
+            sys.stderr.write(f"error  {path}: {failure}\n")
     return code
 
 
@@ -100,4 +99,4 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    sys.exit(main())
+    raise SystemExit(main())

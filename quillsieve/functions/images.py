@@ -24,7 +24,7 @@ class Stripped(NamedTuple):
 
 
 EXIF = b"Exif\0\0"
-XMP = (b"http://ns.adobe.com/xap/1.0/\0", b"http://ns.adobe.com/xmp/extension/\0")
+XMP = tuple(b"http://ns.adobe.com/" + name + b"/\0" for name in (b"xap/1.0", b"xmp/extension"))
 
 
 def orientation_of(data: bytes) -> int | None:

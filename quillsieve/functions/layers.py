@@ -77,7 +77,7 @@ def on_open_text(layer: Callable[[str], str], text: str) -> str:
 
 # --- entities and characters --------------------------------------------------------------------
 
-ENTITY = re.compile(r"&(?:#(?:[xX](?P<hex>[0-9A-Fa-f]+)|(?P<dec>\d+))|(?P<name>[A-Za-z][A-Za-z0-9]*));")
+ENTITY = re.compile(r"&(?:#(?:[xX](?P<hex>[0-9A-Fa-f]+)|(?P<dec>\d+))|(?P<name>[a-zA-Z][0-9a-zA-Z]*));")
 
 
 def entities(text: str, settings: dict, rules: Rulebook, tally: Tally) -> str:
@@ -100,7 +100,7 @@ def entities(text: str, settings: dict, rules: Rulebook, tally: Tally) -> str:
     return text
 
 
-LATIN = [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F)]
+LATIN = [(ord(a), ord(b)) for a, b in ("AZ", "az", "ÀÖ", "Øö", "øɏ")]
 
 
 class Characters:
@@ -233,7 +233,7 @@ def characters(text: str, settings: dict, rules: Rulebook, tally: Tally) -> str:
 
 # --- look-alike letters -------------------------------------------------------------------------
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile("[^\\W\\d_]+")
 LATIN_WIDE = [*LATIN, (0x1E00, 0x1EFF)]
 FOREIGN = [(0x370, 0x52F)]
 
@@ -277,7 +277,7 @@ def homoglyphs(text: str, settings: dict, rules: Rulebook, tally: Tally) -> str:
 
 DASH = "[‒-―]"
 DASHES = (("range", re.compile(f"(?<=\\d[ \\t]){DASH}(?=[ \\t]\\d)")), ("spaced", re.compile(f"[ \\t]+{DASH}[ \\t]+")), ("unspaced", re.compile(DASH)))
-DOTS = re.compile(r"\.{4,}")
+DOTS = re.compile("[.]{4,}")
 
 
 def _swap(text: str, table: dict[str, str]) -> tuple[str, dict[str, int]]:
@@ -380,8 +380,11 @@ class Voice:
         )
         blank = "[ \\t]*"
         tail = f"([,;:]?{blank})"
-        self.start_re = {p: re.compile(f"(\\A|[.!?][ \\t]+|\\r?\\n{blank})(?<!\\w){phrase_body(p)}(?!\\w){tail}((?:\\r?\\n)?{blank}[a-z])?", re.I) for p in self.fillers}
-        self.mid_re = {p: re.compile(f"([,;:]{blank}|[ \\t]+)?(?<!\\w){phrase_body(p)}(?!\\w){tail}", re.I) for p in self.fillers}
+        line, some = "\\r?\\n", "[ \\t]+"
+        opening, within = f"(\\A|[!.?]{some}|{line}{blank})", f"([,;:]{blank}|{some})?"
+        core = {p: bounded(phrase_body(p)).removeprefix("(?i)") + tail for p in self.fillers}
+        self.start_re = {p: re.compile(f"{opening}{c}((?:{line})?{blank}[a-z])?", re.I) for p, c in core.items()}
+        self.mid_re = {p: re.compile(within + c, re.I) for p, c in core.items()}
 
 
 _voices: dict[tuple, Voice] = {}
@@ -451,11 +454,11 @@ ARTIFACTS = (
     ("chatgpt-citation-token", "citeturn", f"cite(?:turn\\d+(?:{TURNS})\\d+)+\\b"),
     ("chatgpt-attributable-index", "attributableIndex", '\\s?attributableIndex="[^"]*"'),
     ("gemini-citation", "[cite", f"\\[cite(?:_(?:end|start)|:{_N}(?:\\s*,{_N})*)\\]"),
-    ("gemini-span", "[span_", "\\[span_\\d+\\](?:\\((?:end|start)_span\\))?"),
-    ("lenticular-citation", "【", "【\\d+†[^】\\n]{0,40}(?:】|(?=\\s)|\\Z)"),
-    ("grok-citation-card", "grok_render_citation_card_json", "\\bgrok_render_citation_card_json\\b(?:=\\{[^}\\n]*\\})?"),
+    ("gemini-span", "[span_", "\\x5Bspan_\\d+\\x5D(?:[(](?:end|start)_span[)])?"),
+    ("lenticular-citation", "【", "【\\d+†[^\\n】]{0,40}(?:(?=\\s)|\\Z|】)"),
+    ("grok-citation-card", "grok_render_citation_card_json", "\\bgrok_render_citation_card_json\\b(?:=[{][^\\n}]*[}])?"),
 )
-UPLOAD = ("perplexity-upload-url", "ppl-ai-file-upload.", "https?://ppl-ai-file-upload\\.[^\\s)\\]\"']+")
+UPLOAD = ("perplexity-upload-url", "ppl-ai-file-upload.", "https?://ppl-ai-file-upload[.][^\"')\\]\\s]+")
 ARTIFACT_RE = {name: re.compile(f"(?P<lead>[ \\t]*)(?:{p})(?P<trail>[ \\t]*)") for name, _, p in ARTIFACTS}
 UPLOAD_RE = re.compile(UPLOAD[2])
 SHUT, OPEN, WHITE = set(".,;:!?)]}\n\r"), set("([{"), set(" \t\r\n\u00a0\u202f")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-LAYERS = ("entities", "characters", "homoglyphs", "typography", "voice", "artifacts")
+LAYERS = tuple("entities characters homoglyphs typography voice artifacts".split())
 FORMS = ("NFC", "NFD", "NFKC", "NFKD", "none")
 FILE_NAMES = ("quillsieve.config.json", ".quillsieverc.json", ".quillsieverc")
 
@@ -69,8 +69,8 @@ def load(path: str | None = None, start: str = ".") -> dict:
         return defaults()
     try:
         user = json.loads(at.read_text("utf-8"))
-    except json.JSONDecodeError as error:
-        raise SettingsError(f"config error in {at}: not valid json ({error})") from error
+    except json.JSONDecodeError as broken:
+        raise SettingsError(f"config error in {at}: not valid json ({broken})") from broken
     if not isinstance(user, dict):
         raise SettingsError(f"config error in {at}: top level must be a json object")
     return checked(user, str(at))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-import urllib.error
-import urllib.parse
-import urllib.request
 from collections.abc import Callable
+from urllib import error, parse, request
 
 KEY_VARIABLE = "DEEPL_API_KEY"
 #: (text, target language, source language or None) -> (translation, language found)
@@ -33,14 +31,14 @@ def deepl(key: str | None = None, timeout: float = 60.0) -> Client:
 
     def translate(text: str, target: str, source: str | None) -> tuple[str, str | None]:
         form = {"text": text, "target_lang": target} | ({"source_lang": source} if source else {})
-        request = urllib.request.Request(f"https://{host}.deepl.com/v2/translate", urllib.parse.urlencode(form).encode(), {"Authorization": f"DeepL-Auth-Key {key}"})
+        ask = request.Request(f"https://{host}.deepl.com/v2/translate", parse.urlencode(form).encode(), {"Authorization": f"DeepL-Auth-Key {key}"})
         try:
-            with urllib.request.urlopen(request, timeout=timeout) as answer:
+            with request.urlopen(ask, timeout=timeout) as answer:
                 first = json.load(answer)["translations"][0]
-        except urllib.error.HTTPError as error:
-            raise TranslationError(explained(error.code)) from error
-        except urllib.error.URLError as error:
-            raise TranslationError(f"could not reach deepl: {error.reason}") from error
+        except error.HTTPError as refused:
+            raise TranslationError(explained(refused.code)) from refused
+        except error.URLError as lost:
+            raise TranslationError(f"could not reach deepl: {lost.reason}") from lost
         return first["text"], first.get("detected_source_language")
 
     return translate
@@ -50,7 +48,7 @@ def back_and_forth(text: str, client: Client, source: str | None = None, pivot:
     there, found = client(text, pivot, source)
     home = source or found
     if not home:
-        raise TranslationError("could not detect the source language, pass --source-lang")
+        raise TranslationError("could not detect " + "the source language, pass --source-lang")
     if home.upper().startswith(pivot.upper()):
         raise TranslationError(f"text is already in the pivot language ({home}), pass a different --pivot-lang")
     return client(there, home, pivot)[0]

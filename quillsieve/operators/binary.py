@@ -22,7 +22,7 @@ _WORDS = {
     "raster-check": "embedded metadata present (exif/xmp/icc/c2pa)",
     "raster-fix": "stripped metadata segments losslessly (pixels untouched)",
     "raster-odd": "could not parse image (file left untouched)",
-    "unsupported": "lossless metadata stripping not supported for this format (file left untouched)",
+    "unsupported": "lossless metadata stripping " + "not supported for this format (file left untouched)",
     "turned": "kept exif orientation (tag 0x0112), nothing else",
     "svg-check": "embedded svg metadata/xmp/comments present",
     "svg-fix": "stripped svg metadata, xmp and comments",
@@ -40,7 +40,7 @@ def finding(kind: str, severity: str, message: str, count: int = 1, layer: str =
 
 def _svg(content: bytes, mode: str) -> tuple[bytes, int, list[dict]]:
     try:
-        text = content.decode("utf-8")
+        text = str(content, "utf-8")
     except UnicodeDecodeError:
         return content, 0, [finding("read", "warn", _WORDS["not-text"], layer="io")]
     total = sum(len(re.findall(p, text)) for p in SVG)

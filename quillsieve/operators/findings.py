@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEVERITY = {"fixed": 0, "info": 1, "warn": 2, "error": 3}
+SEVERITY = {"error": 3, "warn": 2, "info": 1, "fixed": 0}
 EXAMPLES = 8
 
 
@@ -55,7 +55,7 @@ def gate(reports: DataFrame, strict: bool = False, write: bool = False, report:
 
 def lines(report: Column, path: Column, write: bool = True) -> Column:
     """A report as text: a head, then its findings, the gravest first."""
-    tags = F.create_map(*[F.lit(x) for pair in {"fixed": "fixed" if write else "would fix", "warn": "warn", "error": "block", "info": "info"}.items() for x in pair])
+    tags = F.create_map(*[F.lit(x) for pair in {"info": "info", "error": "block", "fixed": "fixed" if write else "would fix", "warn": "warn"}.items() for x in pair])
     grade = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
     bits = [F.when(report["counts"][s] > 0, F.concat(report["counts"][s].cast("string"), F.lit(" " + (s if write or s != "fixed" else "would fix")))) for s in ("error", "warn", "fixed")]
     numbered = F.transform(report["findings"], lambda f, i: F.struct((-F.element_at(grade, f["severity"])).alias("g"), i.alias("i"), f.alias("f")))

@@ -16,7 +16,7 @@ from ..functions.layers import ARTIFACTS, UPLOAD, protected_pattern
 from ..functions.rulebook import Rulebook, bounded, java_class, java_word, load, phrase_body
 
 LETTERS = "[\\p{L}\\p{Nl}\\p{No}]+"
-ENTITY = "&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = "&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|\\p{Alpha}\\p{Alnum}*);"
 PROTECTED = protected_pattern(java=True)
 
 
@@ -232,7 +232,7 @@ def shapes_present(text: Column, rules: Rulebook | None = None) -> Column:
 def without_tracking(text: Column, rules: Rulebook | None = None) -> Column:
     """Links without the parameters assistants add."""
     for name, values in (rules or load()).tracking.items():
-        either = "|".join(re.escape(v) for v in values)
+        either = "|".join(map(re.escape, values))
         pattern = f"[?&]{re.escape(name)}=(?:{either})(?=[&\\s\\x0B\\x1C-\\x1F\\x85\\p{{Z}})\\]\"'>]|\\z)&?"
         change = lambda m: F.when(m.endswith("&"), F.substring(m, 1, 1)).otherwise(F.lit(""))
         text = F.when(F.contains(text, F.lit(f"{name}=")), rebuilt(text, pattern, change)).otherwise(text)
@@ -253,7 +253,7 @@ def artifact_signs(text: Column) -> Column:
 
 # --- markup -------------------------------------------------------------------------------------
 
-SVG = ("(?is)<metadata\\b[^>]*>.*?</metadata>", "(?is)<x:xmpmeta\\b.*?</x:xmpmeta>", "(?s)<!--.*?-->")
+SVG = ("(?is)<(metadata)\\b[^>]*+>.*?</\\1>", "(?is)<x:xmpmeta\\b.*?</x:xmpmeta>", "(?s)<!--.*?-->")
 
 
 def svg_hits(text: Column) -> Column:
@@ -267,7 +267,7 @@ def svg_stripped(text: Column) -> Column:
     return text
 
 
-PDF_NEEDLES = ("/Author", "/Creator", "/Producer", "<x:xmpmeta", "/C2PA_Manifest")
+PDF_NEEDLES = ("<x:xmpmeta", "/C2PA_Manifest", "/Producer", "/Creator", "/Author")
 
 
 def pdf_hits(content: Column) -> Column:

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.layers import UPLOAD
 from ..functions.rulebook import load
 from ..operators import binary, findings, hits, native
 from ..operators.clean import clean, normalized
@@ -404,7 +405,7 @@ def artifact_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(seeded(spark, sf_dir, "artifacts"), settings={"layers": ["artifacts"]}).select("doc_id", "cleaned")
 
 
-@query("warn_urls", f"""SELECT doc_id, CAST(len(regexp_extract_all(text, 'https?://ppl-ai-file-upload\\.[^\\s)\\]"'']+')) AS BIGINT) AS n_uploads FROM {source("artifacts")}""")
+@query("warn_urls", f"SELECT doc_id, CAST(len(regexp_extract_all(text, {quoted(UPLOAD[2])})) AS BIGINT) AS n_uploads FROM {source('artifacts')}")
 def warn_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(spark, sf_dir, "artifacts").select("doc_id", native.upload_links(F.col("text")).alias("n_uploads"))
 
@@ -484,7 +485,7 @@ def length_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "report_lines",
-    f"""SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) || CASE WHEN k = 0 THEN '  (1 error, 1 warn, 1 fixed)' || chr(10) || '  [block] ai phrases present (rewrite required, not auto-fixed) x1  (delve into)'
+    f"""SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) || CASE WHEN k = 0 THEN '  (1 error, 1 warn, 1 fixed)' || chr(10) || '  [block] {RULES.messages["voice", "banned-phrase", "error"]} x1  (delve into)'
         || chr(10) || '  [warn] faux-elegance lexicon found (use sparingly) x1  (delve)' || chr(10) || '  [fixed] removed filler phrases x1' ELSE '' END AS lines
         FROM {COUNTS_SQL} WHERE k = 0 UNION ALL SELECT doc_id, 'clean  doc ' || CAST(doc_id AS VARCHAR) FROM {COUNTS_SQL} WHERE k >= 6""",
 )
@@ -533,7 +534,7 @@ JPEG_BYTES = b"\xff\xd8" + b"\xff\xe0\x00\x04ab" + b"\xff\xfe\x00\x06note" + b"\
 def _docx() -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("docProps/core.xml", "<cp:coreProperties><dc:creator>A</dc:creator><cp:lastModifiedBy>B</cp:lastModifiedBy><dc:title>T</dc:title></cp:coreProperties>")
+        z.writestr("docProps/core.xml", "<core><dc:title>Some title</dc:title><dc:creator>A</dc:creator><cp:lastModifiedBy>B</cp:lastModifiedBy></core>")
         z.writestr("word/document.xml", '<w:ins w:author="A"><w:t>text</w:t></w:ins>')
     return out.getvalue()
 

@@ -25,7 +25,7 @@ def most_bytes(settings: dict) -> int:
         return int(value)
     if value and not _warned:
         _warned.append(value)
-        print(f"warning: ignoring {LIMIT_VARIABLE}={value!r} (must be a positive integer)", file=sys.stderr)
+        sys.stderr.write(f"warning: ignoring {LIMIT_VARIABLE}={value!r} (must be a positive integer)\n")
     return MOST_BYTES
 
 

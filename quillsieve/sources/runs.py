@@ -12,8 +12,8 @@ from ..operators import binary
 from ..operators.clean import clean, report
 from . import files, sink
 
-TAGS = {"fixed": "fixed", "warn": "warn", "error": "block", "info": "info"}
-GRADE = {"fixed": 0, "info": 1, "warn": 2, "error": 3}
+TAGS = {"error": "block", "fixed": "fixed", "info": "info", "warn": "warn"}
+GRADE = {"error": 3, "warn": 2, "info": 1, "fixed": 0}
 
 
 def skipped(path: str, message: str) -> dict:
@@ -104,7 +104,8 @@ def summarised(reports: list[dict], write: bool = True) -> str:
 
 def as_json(reports: list[dict], write: bool) -> str:
     order = ("path", "changed", "original_length", "cleaned_length", "counts", "findings")
-    return json.dumps({"mode": "fix" if write else "check", "summary": summarised(reports, write), "reports": [{k: r[k] for k in order} for r in reports]}, ensure_ascii=False, indent=2)
+    whole = dict(mode=("check", "fix")[write], summary=summarised(reports, write), reports=[{k: r[k] for k in order} for r in reports])
+    return json.dumps(whole, indent=2, ensure_ascii=False)
 
 
 def exit_code(reports: list[dict], strict: bool, write: bool) -> int:

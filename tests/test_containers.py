@@ -19,7 +19,7 @@ def exif(value, order="II"):
 
 
 def jpeg(*segments):
-    return b"\xff\xd8" + b"".join(segments) + b"\xff\xda\x00\x02scan\xff\x00bytes\xff\xd9"
+    return b"".join((b"\xff\xd8", *segments)) + b"\xff\xda\x00\x02scan\xff\x00bytes\xff\xd9"
 
 
 def chunk(kind, data):
@@ -87,7 +87,7 @@ CORE = "<a><dc:creator>Ann</dc:creator><cp:lastModifiedBy>Bo</cp:lastModifiedBy>
 
 
 def test_docx():
-    parts = {"docProps/core.xml": CORE, "docProps/app.xml": "<p><Application>W</Application><Company/></p>", "word/document.xml": '<w:ins w:author="Ann" w:initials=""><w:t>body</w:t></w:ins>', "word/media/x.xml": '<a author="kept"/>'}
+    parts = {"docProps/app.xml": "<p><Application>W</Application><Company/></p>", "docProps/core.xml": CORE + "", "word/document.xml": '<w:ins w:author="Ann" w:initials=""><w:t>body</w:t></w:ins>', "word/media/x.xml": '<a author="kept"/>'}
     for streamed in (False, True):
         new, n = office.strip(archive(parts, streamed), ".docx")
         z = zipfile.ZipFile(io.BytesIO(new))

@@ -43,20 +43,20 @@ CASES = [
     ("fast — slow", {}, "fast, slow"),
     ("fast — slow", {"dash_policy": {"spaced_replacement": ""}}, "fastslow"),
     ("Open 10 – 20 Uhr, from 1990 — 2000.", {}, "Open 10 - 20 Uhr, from 1990 - 2000."),
-    ("fast — slow, 1990–1995, a‒b, c―d", {}, "fast, slow, 1990-1995, a-b, c-d"),
+    ("quick — calm, 1980–85, x‒y, z―w", {}, "quick, calm, 1980-85, x-y, z-w"),
     ("Without further ado, we ship.", {}, "We ship."),
-    ("We did it. It's worth noting that\nthis works.", {}, "We did it.\nThis works."),
+    ("They came. It's worth noting that\nit rained.", {}, "They came.\nIt rained."),
     ("We ship, without further ado, tomorrow.", {}, "We ship, tomorrow."),
     ("We ship without further ado.", {}, "We ship."),
-    ("First line.\r\nIt's worth noting that the cache is cold.\r\n", {}, "First line.\r\nThe cache is cold.\r\n"),
+    ("Top.\r\nIt's worth noting that my tea is cold.\r\n", {}, "Top.\r\nMy tea is cold.\r\n"),
     ("log in at pаypal now", {"replace_homoglyphs": True}, "log in at paypal now"),
     ("Visit СОРЕ today", {"replace_homoglyphs": True}, "Visit COPE today"),
     ("See source citeturn0search0 and more", {}, "See source and more"),
-    ("(see citeturn0search0) and (citeturn0search0 more)", {}, "(see) and (more)"),
-    ("citeturn0search0 start, end citeturn0search0\nnext", {}, "start, end\nnext"),
+    ("[as citeturn1news2] or [citeturn0file3 else]", {}, "[as] or [else]"),
+    ("citeturn0view0 first, last citeturn2map1\nthen", {}, "first, last\nthen"),
     ("tab\tciteturn0search0\tsep", {}, "tab\tsep"),
     ("and [cite: 1] `code`", {}, "and`code`"),
-    ("https://x.io/?utm_source=newsletter", {}, "https://x.io/?utm_source=newsletter"),
+    ("https://y.org/a?utm_source=mail", {}, "https://y.org/a?utm_source=mail"),
     ("u?utm_source=openai&utm_source=openai", {}, "u?utm_source=openai"),
     ("`“x”`", {"protect_code": False}, '`"x"`'),
     ("", {}, ""),
@@ -74,9 +74,9 @@ def found(text, **how):
 
 def test_findings_count_by_rule():
     f = found("citeturn0search0 and citeturn0search1 at https://x.io/?utm_source=openai")["artifacts", "fixed"]
-    assert f["by_rule"] == {"chatgpt-citation-token": 2, "utm_source-tracking": 1}
+    assert f["by_rule"] == {"utm_source-tracking": 1, "chatgpt-citation-token": 2}
     f = found("“a” “b”")["typography", "fixed"]
-    assert f["by_rule"] == {"U+201C": 2, "U+201D": 2}
+    assert f["by_rule"] == dict.fromkeys(("U+201D", "U+201C"), 2)
     f = found(f"&#8203; {ZW}{ZW}")
     assert f["entities", "fixed"]["by_rule"] == {"&#8203;": 1}
     assert f["characters", "fixed"]["by_rule"] == {"U+200B": 3}
@@ -100,13 +100,13 @@ def test_every_shape_has_its_word():
 @pytest.mark.parametrize(
     ("text", "shape"),
     [
-        ("This isn't a tool. This is a movement.", "this-isnt-this-is"),
-        ("It's not just about code, it's about craft.", "its-not-just-its-about"),
+        ("This isn't a cat. This is a dog.", "this-isnt-this-is"),
+        ("It's not just about bread, it's about butter.", "its-not-just-its-about"),
         ("Stop thinking features. Start thinking jobs.", "stop-thinking-start-thinking"),
         ("Agile is dead. Flow is the future.", "is-dead-is-the-future"),
-        ("The question isn't how. The question is why.", "the-question-isnt"),
+        ("The question isn't who. The question is when.", "the-question-isnt"),
         ("You don't need more tools. You need focus.", "you-dont-need-you-need"),
-        ("This isn't merely a method, it's a worldview.", "isnt-merely-its"),
+        ("This isn't merely a cup, it's a vase.", "isnt-merely-its"),
         ("This is where user story mapping comes in.", "this-is-where-comes-in"),
         ("The team shipped it, highlighting the importance of focus.", "participial-tail"),
         ("The library serves as a bridge between teams.", "copula-avoidance"),
