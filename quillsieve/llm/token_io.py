@@ -223,7 +223,10 @@ def _write(folder: str):
         def close() -> None:
             flush()
             out.close()
-            system.move(name, f"{root}/part-{now:08d}.bin")
+            whole = f"{root}/part-{now:08d}.bin"
+            if system.get_file_info(whole).is_file:  # of an earlier attempt; some file systems don't replace
+                system.delete_file(whole)
+            system.move(name, whole)
             done.append((now, docs, total))
 
         for batch in batches:

@@ -1,0 +1,494 @@
+"""Each operator against brute force, and on nulls, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import json
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from quillsieve.llm import chat, exact_dedup, minhash, mixing, pieces, pii, quality, ragged, token_io, winnowing, wrapper
+
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
+LONG = "word " * 30_000
+DOCS = [
+    (5, "One two three four five six seven.", "b"), (3, "One two three four five six seven.", "b"), (3, "One two three four five six seven.", "b"), (4, None, None), (None, "null id text here", "a"),
+    (None, None, "a"), (9, "", ""), (8, LONG, "b"), (7, "x", "c"), (2, "Mail a@b.co or 4111 1111 1111 1111 now\n\tend", "a"), (1, "日本語 テキスト 🙂🙃 " * 5, "c"),
+    (10, "z" * 20_000, "b"), (11, "A B c d", "a"), (12, "a b C D", "a"),
+]
+CLASH = ["size", "source_size", "target", "taken", "part", "whole", "key", "digest", "place", "score", "ids", "n_pieces", "decoded", "near_row", "fp", "hs", "range_no", "copy", "n", "sig"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.createDataFrame(DOCS, "doc_id long, text string, source string")
+    return rows.select("*", *[F.lit("kept").alias(c) for c in CLASH]).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return docs.select("doc_id", "text", "source")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+# --- exact dedup --------------------------------------------------------------------------------
+
+
+def test_exact(docs):
+    got = exact_dedup.annotate(docs, counters=2).collect()
+    groups = defaultdict(list)
+    for i, t, _ in DOCS:
+        groups[t or ""].append(i)
+    assert len(got) == len(DOCS)
+    for r in got:
+        same = next(g for t, g in groups.items() if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)
+        assert r.group_size == len(same) and r.keep_id == max((i for i in same if i is not None), default=None)
+    assert sum(r.kept for r in got) == len(groups)
+    stays = exact_dedup.dedup(docs, counters=2)
+    assert stays.columns == docs.columns and stays.count() == len(groups)
+    assert {r.doc_id for r in stays.where("text LIKE 'One%'").collect()} == {5}
+    assert exact_dedup.annotate(docs.limit(0)).count() == 0 and exact_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_misra_gries_keeps_what_is_frequent():
+    rng = np.random.default_rng(1)
+    stream = [b"h%d" % i for i in range(5) for _ in range(300)] + [b"x%d" % i for i in rng.integers(0, 3000, 1500)]
+    rng.shuffle(stream)
+    counts: dict[bytes, int] = {}
+    for i in range(0, len(stream), 100):
+        for k, n in Counter(stream[i : i + 100]).items():
+            counts[k] = counts.get(k, 0) + n
+        counts = exact_dedup.merge_counts(counts, 10)
+    frequent = {k for k, n in Counter(stream).items() if n > len(stream) / 11}
+    assert frequent <= set(counts) and len(counts) <= 10
+
+
+# --- mixing -------------------------------------------------------------------------------------
+
+
+def filled(sizes, weights=(5, 2, 1), epochs=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, out, free = sum(sizes.values()), {}, set(names)
+    while True:
+        level = (total - sum(out.values())) / sum(w[s] for s in free) if free else 0
+        over = {s for s in free if w[s] * level > epochs * sizes[s]}
+        if not over:
+            return out | {s: w[s] * level for s in free}
+        out |= {s: epochs * sizes[s] for s in over}
+        free -= over
+
+
+def test_mixing(docs):
+    out, new = mixing.mix(docs)
+    got = out.collect()
+    assert len(got) == len(DOCS) and new["size"] == "size_" and got[0]["size"] == "kept"
+    sizes = Counter()
+    for _, t, s in DOCS:
+        sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want, taken = filled(sizes), Counter()
+    for r in got:
+        assert r[new["target"]] == pytest.approx(want[r.source]) and r[new["source_size"]] == sizes[r.source]
+        assert 0 <= r[new["taken"]] <= 3 * r[new["size"]]
+        taken[r.source] += r[new["taken"]]
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 2
+    assert rows(out.select("doc_id", new["taken"])) == rows(mixing.mix(docs)[0].select("doc_id", new["taken"]))
+    mixed = mixing.repeated(docs)
+    assert mixed.columns == docs.columns
+    count = mixed.select("source", mixing.words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
+    assert {r.source: r.n for r in count if r.n} == {s: n for s, n in taken.items() if n}
+    assert mixing.mix(docs.limit(0))[0].count() == 0 and mixing.repeated(docs.limit(0)).count() == 0
+
+
+def test_water_filling(spark):
+    for sizes in ({"a": 1, "b": 100, "c": 1000, None: 10}, {"a": 0, "b": 0}, {"a": 5}, {"x": 10, "y": 10, "z": 10, "": 1}):
+        table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(table).collect()}
+        assert got == pytest.approx(filled(sizes)) if sum(sizes.values()) else not any(got.values())
+
+
+# --- token files --------------------------------------------------------------------------------
+
+
+def test_token_files(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE_FILE)
+    tokenizer.encode_special_tokens = True
+    folder = token_io.write(docs, BPE_FILE, folder=f"file://{tmp_path}/out")
+    got = sorted(token_io.read(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
+    want = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, _ in DOCS]
+    assert [r.doc_id for r in got] == sorted((i for i, _ in want), key=lambda i: (i is not None, i or 0))
+    assert sorted((repr(r.doc_id), r.ids) for r in got) == sorted((repr(i), ids) for i, ids in want)
+    at = 0
+    for r in got:
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+        at += r.n_tokens
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["version"] == 1
+    empty = token_io.write(docs.limit(0), BPE_FILE, folder=f"file://{tmp_path}/empty")
+    assert token_io.read(spark, empty).count() == 0
+
+
+def test_packing():
+    rng = np.random.default_rng(3)
+    numbers = rng.integers(0, 1 << 32, 5000, dtype=np.uint64).astype(np.uint32) >> rng.integers(0, 32, 5000).astype(np.uint32)
+    counts = np.array([0, 1, 4, 5, 0, 3000, 1990, 0])
+    control, data, sizes = token_io.pack(numbers, counts)
+    assert (token_io.unpack(control, data, counts) == numbers).all() and sizes.sum() == len(data) and len(control) == (-(-counts // 4)).sum()
+
+
+def test_pieces_of_a_text_join(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE_FILE)
+    tokenizer.encode_special_tokens = True
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcÄéß 's.,!?\n\t  <|>1'中🙂"), rng.integers(0, 60))) for _ in range(1500)] + ["it's <|endoftext|>  a", "a  b", " "]
+    encoder = token_io.Encoder(BPE_FILE, most=500)
+    got = []
+    for _, _, ids, counts in encoder.encode(pa.array(texts)):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+# --- personal data ------------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), rank, kind, m.end()))
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def test_personal_data(spark):
+    rng = np.random.default_rng(11)
+    bits = ["a@b.co", "x.y+z@mail-1.example.com", "@", ".", "1.2.3.4", "300.1.1.1", "0255.0.0.1", "4111 1111 1111 1111", "4111111111111112", "+49 (30) 123-4567 89", "+1", " ", "-", "5", "é🙂", "word", "..", "_", "+", "GB82WEST12345698765432"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(400)] + [None, "", LONG, "9" * 30_000, "a." * 20_000 + "@", "mail a@b.co " * 3000, "iban DE89 3704 0044 0532 0130 00 and DE88370400440532013000", "call 555-123-4567 today"]
+    done = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert len(done) == len(texts)
+    for r in done:
+        want = base_spans(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k + ":") for x in want) for k in BASE]
+        assert set(want) <= set(r.spans.split(",")) | {""}
+    by_text = {texts[r.doc_id]: r.spans for r in done}
+    assert by_text[texts[-2]] == "iban:5:32" and by_text[texts[-1]] == "tel:5:17"
+
+
+# --- near duplicates ----------------------------------------------------------------------------
+
+
+def brute_components(texts, width, percent):
+    sets = []
+    for t in texts:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return sets, [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(spark, width):
+    rng = np.random.default_rng(width)
+    texts = []
+    for _ in range(12):
+        words = [f"w{i}" for i in rng.integers(0, 400, 120)]
+        for _ in range(rng.integers(1, 9)):
+            copy = list(words)
+            for i in rng.integers(0, 120, rng.integers(0, 7)):
+                copy[i] = f"v{rng.integers(0, 99)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper().replace("W", "w"), texts[0], None, "", "   ", "one", "One", "one two", LONG, "z" * 9000]
+    sets, want = brute_components(texts, width, 80)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in minhash.annotate(docs, width).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == want
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    assert [got[i].kept for i in range(len(texts))] == [i == c for i, c in enumerate(want)]
+
+
+def test_near_duplicates_odd_rows(docs):
+    got = minhash.annotate(docs).collect()
+    assert len(got) == len(DOCS)
+    assert sorted(r.component_id for r in got if r.doc_id in (11, 12)) == [11, 11]
+    assert sum(r.kept for r in got if r.doc_id in (3, 5)) == 1
+    assert all(r.kept for r in got if r.n_shingles == 0)
+    stays = minhash.dedup(docs)
+    assert stays.columns == docs.columns and stays.where("text LIKE 'One%'").count() == 1
+    assert minhash.annotate(docs.limit(0)).count() == 0
+
+
+def test_sequential_bounds():
+    steps = minhash.least_matches(0.8, 1e-6)
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 32, (4000, 160), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, a + np.uint32(1))
+    assert len(minhash.survivors(a, b, steps)[0]) == 4000
+    b = np.where(rng.random(a.shape) < 0.4, a, a + np.uint32(1))
+    assert not len(minhash.survivors(a, b, steps)[0])
+
+
+def test_components(spark):
+    rng = np.random.default_rng(9)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 80, (60, 2))]
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = {r.node: r.comp for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root(n) for e in edges if e[0] != e[1] for n in e}
+
+
+# --- chat ---------------------------------------------------------------------------------------
+
+
+def test_chat(spark):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bo", None), (1, 2, "ann", "x"), (1, None, None, "n"), (None, 5000, "c", "late"), (None, 1, "c", "early"), (2, 0, "system", "alone"), (1, 1, "ann", "hi <|im_end|>")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1))
+    seg = chat.perspectives(table)
+    made = {(r.conv_id, r.perspective, r.part): r for r in chat.dialogues(seg).collect()}
+    assert set(made) == {(1, "ann", 0), (1, "ann", -1), (1, "bo", 0), (1, "bo", -1), (1, "", 0), (1, "", -1), (None, "c", 0), (None, "c", 4)}
+    for r in seg.collect():
+        assert r.end - r.start == len(r.segment) and (r.role == "assistant") == (r.trained_start is not None)
+    for key in ((1, "ann"), (1, "bo"), (1, "")):
+        text = made[*key, -1].text + made[*key, 0].text
+        assert made[*key, 0].start == len(made[*key, -1].text)
+        want = {"ann": "hi < |im_end|><|im_end|>hi < |im_end|><|im_end|>x<|im_end|>", "bo": "<|im_end|>", "": "n<|im_end|>"}[key[1]]
+        assert "".join(text[s.start : s.end] for p in (-1, 0) for s in made[*key, p].trained) == want
+    assert chat.perspectives(table.limit(0)).count() == 0
+
+
+# --- sentencepiece ------------------------------------------------------------------------------
+
+
+def fuzz(n, seed):
+    rng = np.random.default_rng(seed)
+    texts = ["".join(rng.choice(list("aetionshrld▁   \n.,!éöß中🙂0123'-_"), rng.integers(0, 50))) for _ in range(n)]
+    return [*texts, "", " ", "   a", "the theory of <s> things", "x" * 400, "\x00\x01", None]
+
+
+def test_bpe_pieces_are_the_librarys():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES_FILE)
+    texts = fuzz(2000, 1)
+    model = pieces.Model.of(PIECES_FILE)
+    got, back = [], []
+    for _, _, ids, counts in model.encode(pa.array(texts)):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        back += pieces.strings(*model.decode(ids, counts)).to_pylist()
+    assert got == library.encode([t or "" for t in texts])
+    assert back == [(t or "").replace("▁", " ") for t in texts]
+
+
+def _field(number, kind, value):
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    head = varint(number << 3 | kind)
+    return head + (varint(value) if kind == 0 else value if kind == 5 else varint(len(value)) + value)
+
+
+def test_unigram_pieces_are_the_librarys():
+    import struct
+
+    import sentencepiece
+
+    rng = np.random.default_rng(2)
+    words = sorted({"".join(rng.choice(list("▁aetions"), rng.integers(1, 5))) for _ in range(300)} | set("▁aetionshr"))
+    words = [w for w in words if "▁" not in w[1:]]
+    parts = [("<unk>", 0.0, 2), *((w, -float(rng.uniform(1, 12)) * len(w) ** 0.7, 1) for w in words), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    proto = b"".join(_field(1, 2, _field(1, 2, t.encode()) + _field(2, 5, struct.pack("<f", s)) + _field(3, 0, k)) for t, s, k in parts)
+    proto += _field(2, 2, _field(3, 0, 1) + _field(35, 0, 1)) + _field(3, 2, _field(1, 2, b"identity") + _field(3, 0, 1) + _field(4, 0, 0))
+    library = sentencepiece.SentencePieceProcessor()
+    library.LoadFromSerializedProto(proto)
+    model, texts = pieces.Model(proto), [t or "" for t in fuzz(800, 3)]
+    got = []
+    for _, _, ids, counts in model.encode(pa.array(texts)):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    for mine, his in zip(got, library.encode(texts), strict=True):
+        assert mine == his or sum(model.score[mine]) == pytest.approx(sum(model.score[his]), abs=1e-3)
+
+
+def test_pieces_over_a_table(docs):
+    done, new = pieces.encoded(docs, PIECES_FILE)
+    assert done.columns[: len(docs.columns)] == docs.columns and new["ids"] == "ids_"
+    for r in done.collect():
+        assert r[new["decoded"]] == (r.text or "") and r[new["n_pieces"]] == len(r[new["ids"]])
+    report = pieces.report(docs, PIECES_FILE)
+    assert report.where("round_trip").count() == len(DOCS) and pieces.report(docs.limit(0), PIECES_FILE).count() == 0
+
+
+# --- pages --------------------------------------------------------------------------------------
+
+PAGE = '<html><body><header>Site</header><nav><ul><li><a>m</a></ul></nav><div class="notice">Read our rules</div><div class=x><div>Same motto</div><h1>T{0}</h1><p>Text {0} &lt;b&gt;<br>more &amp<script>"</p>"</script><p>Second   {0}</div><div class="ad big">Buy</div><form>f</form><section id="comments"><p>c</p></section><aside>s</aside><footer>&copy;'
+
+
+def test_pages(spark):
+    data = [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(8)]
+    data += [(20, None, None), (21, "http://one.example/", ""), (22, "http://one.example/a", "<article><h1>A</h1>x <b>y</b>z<ul><li>1<li>2</ul></article>rest"), (22, "http://one.example/a", "<p>" * 3000 + "deep"), (23, "u", "<div>" * 3000 + "deep"), (24, "u", "<!-- open"), (25, "u", '<a href="'), (26, "u", "a < b & c")]
+    table = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1))
+    got = defaultdict(list)
+    for r in wrapper.main_texts(table).collect():
+        assert r.n_chars == len(r.text)
+        got[r.page_id].append(r.text)
+    for i in range(8):
+        assert got[i] == [f"T{i}\nText {i} <b> more &\nSecond {i}"]
+    assert got[20] == got[21] == got[24] == [""] and sorted(got[22]) == ["A\nx yz\n1\n2", "deep"] and got[23] == ["deep"] and got[26] == ["a < b & c"]
+    assert wrapper.main_texts(table.limit(0)).count() == 0
+
+
+def test_tree_matching_is_the_largest():
+    def brute(a, b):
+        def order(x, y):
+            if not x or not y:
+                return 0
+            best = max(order(x[1:], y), order(x, y[1:]))
+            return max(best, 1 + order(x[0].kids, y[0].kids) + order(x[1:], y[1:])) if (x[0].tag, x[0].key) == (y[0].tag, y[0].key) else best
+
+        return 1 + order(a.kids, b.kids)
+
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        node = wrapper.Node(str(rng.choice(list("pdu"))), "", False)
+        node.items = [tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else []
+        return node
+
+    for _ in range(60):
+        a, b = tree(3), tree(3)
+        a.tag = b.tag
+        assert wrapper.matches(wrapper.Slot(a), b, {}) == brute(wrapper.Slot(a), wrapper.Slot(b))
+
+
+# --- quality ------------------------------------------------------------------------------------
+
+
+def test_quality(spark):
+    source = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{source}/documents.parquet"), spark.read.parquet(f"{source}/labels.parquet")
+    done = quality.annotate(docs, labels)
+    held = done.where("held_out").join(labels, "doc_id")
+    right = held.select(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
+    assert right > 0.97
+    assert done.count() == docs.count() and done.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
+
+
+def test_quality_odd_rows(spark, docs):
+    labels = spark.createDataFrame([(5, 1), (3, 0), (None, 1), (9, None)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+    done, name = quality.scored(docs, model)
+    assert name == "score_" and done.columns[:-1] == docs.columns and done.count() == len(DOCS)
+    assert quality.keep(docs, labels).columns == docs.columns
+    none = quality.annotate(docs, labels.limit(0)).collect()
+    assert all(r.score == 0.5 and r.predicted == 1 for r in none)
+    assert quality.annotate(docs.limit(0), labels).count() == 0
+
+
+def test_bradley_terry_orders_by_the_features():
+    rng = np.random.default_rng(6)
+    good, bad = rng.normal(0, 1, (300, len(quality.NAMES))), rng.normal(0, 1, (100, len(quality.NAMES)))
+    good[:, 2] += 3
+    model = quality.fit(good, bad, 0.25)
+    assert np.argmax(np.abs(model.weight)) == 2
+    assert (model.score(good) >= 0.5).mean() > 0.9 and (model.score(bad) < 0.5).mean() > 0.8
+
+
+# --- fingerprints -------------------------------------------------------------------------------
+
+
+def test_winnowing(spark, plain):
+    k, window = 5, 4
+    got = winnowing.compare_edited(plain, k=k, window=window).collect()
+    ordered = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    texts = [d[1] or "" for d in ordered]
+    words = {w for t in texts for w in t.split()}
+    following = dict(zip(range(len(texts)), [*texts[1:], texts[0]], strict=True))
+    edited = [t[: len(t) - len(t) // 4] + following[i][: len(t) // 4] for i, t in enumerate(texts)]
+    words |= {w for t in edited for w in re.split("[\x20\x09-\x0d]+", t)} | {w for t in texts for w in re.split("[\x20\x09-\x0d]+", t)}
+    table = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", (F.xxhash64("w").bitwiseAND(F.lit(winnowing.PRIME)) % winnowing.PRIME).alias("h")).collect()}
+
+    def fingerprint(text):
+        h = [table[w] for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        poly = lambda xs: sum(x * pow(winnowing.BASE, len(xs) - 1 - i, winnowing.PRIME) for i, x in enumerate(xs)) % winnowing.PRIME
+        runs = [poly(h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else [poly(h)] if h else []
+        windows = [range(i, i + window) for i in range(len(runs) - window + 1)] if len(runs) >= window else [range(len(runs))] if runs else []
+        chosen = sorted({min(w, key=lambda i: (runs[i], -i)) for w in windows})
+        return [(runs[i], i) for i in chosen]
+
+    show = lambda f: ",".join(f"{h:x}:{i}" for h, i in f)
+
+    def alike(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    want = []
+    for i, (d, t, e) in enumerate(zip(ordered, texts, edited, strict=True)):
+        a, b, c = fingerprint(t), fingerprint(e), fingerprint(following[i])
+        want.append((d[0], len(t), hashlib.sha256(e.encode()).hexdigest(), show(a), show(b), round(alike(a, b), 9), round(alike(a, c), 9)))
+    mine = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
+    assert sorted(mine, key=repr) == sorted(want, key=repr)
+    assert winnowing.compare_edited(plain.limit(0)).count() == 0
+    one = winnowing.compare_edited(plain.where("doc_id = 8")).first()
+    assert one.near_next == 1.0
+
+
+# --- bytes --------------------------------------------------------------------------------------
+
+
+def test_memo_is_bounded_and_right():
+    memo = ragged.Memo(np.uint16, most=64)
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        words = [bytes(rng.integers(97, 123, rng.integers(1, 4), dtype=np.uint8)) for _ in range(200)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        flat, lengths = memo.look_up(data, ends - [len(w) for w in words], ends, lambda parts: [list(p) for p in parts])
+        assert bytes(flat.astype(np.uint8)) == b"".join(words) and lengths.tolist() == [len(w) for w in words]
+
+
+def test_words_are_the_contracts():
+    texts = ["", " ", "a", "a\x0bb\x0cc\r\nd\te", " x y  z ", "é\x1cq"] * 3
+    data, offsets = ragged.utf8(pa.array(texts))
+    starts, ends, first = ragged.words(data, offsets)
+    got = [[data[a:b].tobytes().decode() for a, b in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)] for i in range(len(texts))]
+    assert got == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
