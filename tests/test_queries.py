@@ -82,3 +82,11 @@ def test_stream(spark, tmp_path):
     query.stop()
     row = spark.sql("SELECT * FROM summed").first()
     assert (row.files, row.changed, row.blocked) == (3, 1, 2)
+
+
+def test_sql_names(spark):
+    from quillsieve.functions.registry import register
+
+    register(spark)
+    row = spark.sql("SELECT clean_text(t) AS c, text_findings(t) AS f, text_phrases(t) AS p, clean_text(CAST(NULL AS STRING)) AS n FROM (SELECT 'a“b” we delve into it' AS t)").first()
+    assert row.c == 'a"b" we delve into it' and '"smart-quote"' in row.f and row.p.startswith("[[8, 18") and row.n is None
