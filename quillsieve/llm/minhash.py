@@ -9,8 +9,9 @@ chance that it reaches the threshold falls below `miss`. Survivors are verified
 Groups stay whole without listing their pairs. First every node is compared with one node alone,
 the least of most of its buckets (its pivot); the links give components. Then only buckets that
 still hold several components are searched, for pairs across components, in blocks of bounded
-size: a few pairs of each node at first, as their links spare others, then all that are left. When
-no pair across components is left, each component is the same as all links would give.
+size: members of a bucket's largest component meet only those outside it. A few pairs of each
+node come first, as their links spare others, then all that are left. When no pair across
+components is left, each component is the same as all links would give.
 
 Defined results: words are runs without blanks, with A-Z in lower case; a text with fewer words
 than a shingle is one shingle; without words or with a null text the set is empty and linked with
@@ -286,13 +287,17 @@ def links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, miss: flo
     tested = pruned
     for few in (*FEW, 0):
         comp = components(found)
-        marked = shared.join(comp, "node", "left").select("bucket", "node", "members", F.coalesce("comp", "node").alias("comp"))
+        marked = shared.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
         marked = staged(marked, "marked")
-        open_ = marked.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        # In each open bucket all but its largest component are strays; only pairs with a stray can be new.
+        sized = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+        open_ = sized.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        open_ = open_.select("bucket", F.col("most.comp").alias("largest"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("strays"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("others"))
         rows = marked.join(open_, "bucket").join(sigs, "node")
-        n = F.ceil(F.col("members") / BLOCK).cast("int")
-        rows = rows.withColumn("n", n).withColumn("mine", F.pmod(F.hash("node"), F.col("n")))
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        stray, spread = F.col("comp") != F.col("largest"), F.hash("node")
+        rows = rows.withColumn("mine", F.when(stray, F.pmod(spread, F.col("strays"))).otherwise(F.col("strays") + F.pmod(spread, F.col("others"))))
+        meets = F.when(stray, F.col("strays") + F.col("others")).otherwise(F.col("strays"))
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), meets - 1)).alias("other"))
         rows = rows.select(F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "bucket", (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "comp", "size", "sig")
         rows = rows.repartition(tasks, "b0", "b1", "bucket").sortWithinPartitions("bucket", "b0", "b1", "half", "node")
         more = staged(rows.mapInArrow(_across(steps, few, percent), "a long, b long, cut boolean"), "pairs")

@@ -217,8 +217,10 @@ def brute_components(texts, width, percent):
     return sets, [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(spark, width):
+@pytest.mark.parametrize(("width", "block", "rows"), [(2, minhash.BLOCK, 5), (5, 3, 2)])
+def test_near_duplicates(spark, width, block, rows, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)  # several blocks a bucket
+    monkeypatch.setattr(minhash, "ROWS", rows)  # and buckets full of strangers
     rng = np.random.default_rng(width)
     texts = []
     for _ in range(12):
