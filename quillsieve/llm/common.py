@@ -59,7 +59,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/quillsieve-{name}-{uuid.uuid4().hex}"
+    """A path of our own in the shared folder, with its file system named, removed at the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillsieve-{name}-{uuid.uuid4().hex}")
+    path = path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).makeQualified(path).toString()
     atexit.register(remove, spark, path)
     return path
 
