@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 SYSTEM = "system"
+TAIL = "<|im_end|>\n"
+FIRST = -(1 << 60)  # the block of turns without a number
 
 
 def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -32,24 +34,26 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """
     clean = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("<|"), F.lit("< |"))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), clean(role_col).alias("speaker"), clean(text_col).alias("words"))
-    who = rows.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
-    seen = rows.join(who, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    # Keys without nulls: joins and windows then share one partitioning, and the texts move once.
+    rows = rows.withColumn("k", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(FIRST)))
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(F.lit("")), F.lit("\n"))
-    seen = seen.withColumn("role", role).withColumn("head", head)
-    seen = seen.withColumn("segment", F.concat("head", "words", F.lit("<|im_end|>\n")))
-    seen = seen.withColumn("block", F.floor(F.col("turn") / BLOCK))
+    head = F.concat(F.lit("<|im_start|>"), role, F.when(role == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise(F.lit("")), F.lit("\n"))
+    # Lengths by speaker and block are a few numbers; from them comes where each block begins.
+    sums = rows.groupBy("k", "block", "speaker").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words")).alias("chars"))
+    who = sums.where(F.col("speaker") != SYSTEM).select("k", F.col("speaker").alias("perspective")).distinct()
+    blocks = sums.join(who, "k").groupBy("k", "block", "perspective").agg(F.sum(F.col("n") * (F.length(head) + len(TAIL)) + F.col("chars")).alias("size"))
+    before = Window.partitionBy("k", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("k", "block", "perspective", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    seen = rows.join(blocks, ["k", "block"]).withColumn("head", head).withColumn("role", role)
+    seen = seen.withColumn("segment", F.concat("head", "words", F.lit(TAIL)))
     size = F.length("segment").cast("long")
-    key = ["conv_id", "perspective"]
-    blocks = seen.groupBy(*key, "block").agg(F.sum(size).alias("size"))
-    before = Window.partitionBy(*key).orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    seen = seen.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & F.col("block").eqNullSafe(F.col("b")))
-    inside = Window.partitionBy(*key, "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "words").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("k", "block", "perspective").orderBy(F.col("turn").asc_nulls_first(), "speaker", "words").rowsBetween(Window.unboundedPreceding, -1)
     seen = seen.withColumn("start", F.col("base") + F.coalesce(F.sum(size).over(inside), F.lit(0))).withColumn("end", F.col("start") + size)
     mine = F.col("role") == "assistant"
     return seen.select(
-        *key,
+        "conv_id",
+        "perspective",
         "turn",
         "role",
         F.col("speaker").alias("name"),
