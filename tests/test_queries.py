@@ -35,6 +35,16 @@ def test_query(spark, duck, name):
     assert mine
 
 
+def test_full_clean_covers_every_document(spark, tmp_path):
+    texts = {5: "plain", 6: "so ..... and .... end", 7: None, 10: "wait....", 13: "three... only"}
+    spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.cleaned, r.changed) for r in catalog.QUERIES["full_clean"](spark, str(tmp_path)).collect()}
+    assert got == {
+        5: ("at https://x.io/?utm_source=newsletter end plain", False), 6: ("so ... and ... end", True), 7: (None, None),
+        10: ("at https://x.io/ end and https://y.io/a?b=1 here wait...", True), 13: ("at https://x.io/?utm_source=newsletter end three... only", False),
+    }
+
+
 TEXTS = [
     None, "", "plain", "x" * 50_000, "“a” — b… .....", "a​b‌م‌ ­", "1 %  z. B. a b  ⠀",
     "&#8203;&amp;&zwj;&#x202E;&#xE0041;&#9999999;", "pаypal Привет", "```\n“x”", "u?utm_source=openai&x=1 v?utm_source=openai",
