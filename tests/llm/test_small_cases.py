@@ -194,6 +194,18 @@ def test_personal_data(spark):
     assert by_text[texts[-2]] == "iban:5:32" and by_text[texts[-1]] == "tel:5:17"
 
 
+def found_spans(spark, texts):
+    return [r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+
+
+def test_ibans_end_where_their_country_says(spark):
+    a, b, other = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "ZZ33 1234 5678 9012 345"
+    texts = [f"pay to {a} Please", f"{a} 2024", f"{b} The bank", f"{b} BIC COBADEFFXXX", f"{a} {b} {a}", f"REF AB12 ABCD EFGH IJK {b} X", f"{other} NOW", b + "9", b[:-1] + "3 A", a[:-3] + " OK"]
+    at = lambda *xs: ",".join(f"iban:{k}:{k + len(x)}" for x, k in xs)
+    want = [at((a, 7)), at((a, 0)), at((b, 0)), at((b, 0)), at((a, 0), (b, 28), (a, 51)), at((b, 23)), at((other, 0)), "", "", ""]
+    assert found_spans(spark, texts) == want
+
+
 # --- near duplicates ----------------------------------------------------------------------------
 
 
