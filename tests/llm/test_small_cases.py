@@ -206,6 +206,7 @@ def test_ibans_end_where_their_country_says(spark):
     assert found_spans(spark, texts) == want
 
 
+
 # --- near duplicates ----------------------------------------------------------------------------
 
 
@@ -391,6 +392,14 @@ def test_pages(spark):
     assert wrapper.main_texts(table.limit(0)).count() == 0
 
 
+def test_pages_under_one_heading():
+    page = "<div><h1>The Site</h1><p>Same notice</p><p>Text {0}</p></div>"
+    template = wrapper.induce([page.format(i) for i in range(8)])
+    slot = wrapper._load(json.loads(template))
+    assert [wrapper.extract(page.format(i), slot) for i in (3, 99)] == ["Text 3", "Text 99"]
+    assert wrapper.induce([page.format(1)] * 8) is None
+
+
 def test_tree_matching_is_the_largest():
     def brute(a, b):
         def order(x, y):
@@ -414,6 +423,7 @@ def test_tree_matching_is_the_largest():
         assert wrapper.matches(wrapper.Slot(a), b, {}) == brute(wrapper.Slot(a), wrapper.Slot(b))
 
 
+
 # --- quality ------------------------------------------------------------------------------------
 
 
