@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, prefix_sums
 
-NEAR = 48  # code points before a span that count as its context
+NEAR = 48  # code points before and after a span that count as its context
 THRESHOLD = 0.6
 #: ISO 13616 registry: characters of an IBAN by country.
 IBAN_LENGTHS = {
@@ -96,8 +96,10 @@ def _found(gaps: str, near: str):
 
     def found(hit: Column, i: Column) -> Column:
         gap = F.get(F.col(gaps), i)
-        before = F.right(gap, F.lit(NEAR))
-        later = F.array_join(F.slice(F.col(near), i + 2, F.lit(PIECES)), "")
+        texts = lambda start, n, side: F.array_join(F.transform(F.slice(F.col(near), start, n), lambda x: x[side]), "")
+        earlier = F.when(i > 0, texts(F.greatest(i - PIECES + 1, F.lit(1)), F.least(i, F.lit(PIECES)), "before")).otherwise(F.lit(""))
+        before = F.right(F.concat(earlier, F.right(gap, F.lit(NEAR))), F.lit(NEAR))
+        later = texts(i + 2, F.lit(PIECES), "after")
         after = F.left(F.concat(F.left(F.get(F.col(gaps), i + 1), F.lit(REACH)), F.when(i + 1 < F.size(near), later).otherwise(F.lit(""))), F.lit(REACH))
         return F.struct(F.length(gap).alias("start"), hit.alias("hit"), before.alias("before"), after.alias("after"))
 
@@ -106,14 +108,16 @@ def _found(gaps: str, near: str):
 
 def _whole(x: Column) -> Column:
     """The match of an IBAN's head as one of the IBAN."""
-    return F.struct(x["start"].alias("start"), iban_at(F.concat(x["hit"], x["after"])).alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
+    ahead = F.concat(x["hit"], x["after"])
+    hit = iban_at(ahead)
+    return F.struct(x["start"].alias("start"), hit.alias("hit"), x["before"].alias("before"), F.substr(ahead, F.length(hit) + 1).alias("after"))
 
 
 def _judge(kind: Kind, rank: int):
     """Turns what _found gives into a span."""
 
     def span(x: Column) -> Column:
-        score = F.lit(kind.score) + F.when(F.lower(x["before"]).rlike(kind.context), F.lit(0.3)).otherwise(F.lit(0.0))
+        score = F.lit(kind.score) + F.when(F.lower(F.concat(x["before"], F.lit("\n"), F.left(x["after"], F.lit(NEAR)))).rlike(kind.context), F.lit(0.3)).otherwise(F.lit(0.0))
         score = F.when(confirmed(kind, x["hit"]), score).otherwise(F.lit(-1.0))
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (x["start"] + F.length(x["hit"])).alias("end"), score.alias("score"))
 
@@ -138,7 +142,7 @@ def spans(df: DataFrame, text_col: str, out: str, kinds: tuple[Kind, ...] = KIND
         lengths = F.zip_with(gaps, hits, lambda g, h: (F.length(g) + F.coalesce(F.length(h), F.lit(0))).cast("long"))
         df = df.withColumn(starts, F.when(F.size(hits) > 0, prefix_sums(lengths)))
 
-        df = df.withColumn(near, F.transform(hits, lambda h, j: F.left(F.concat(h, F.get(F.col(gaps), j + 1)), F.lit(REACH))))  # noqa: B023
+        df = df.withColumn(near, F.transform(hits, lambda h, j: F.struct(F.right(F.concat(F.get(F.col(gaps), j), h), F.lit(NEAR)).alias("before"), F.left(F.concat(h, F.get(F.col(gaps), j + 1)), F.lit(REACH)).alias("after"))))  # noqa: B023
 
         # starts is an argument and not used within the function, where it might be computed for each match.
         found = F.zip_with(F.transform(hits, _found(gaps, near)), F.slice(starts, F.lit(1), F.size(hits)), lambda x, s: x.withField("start", s + x["start"]))

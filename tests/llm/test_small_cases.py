@@ -206,6 +206,10 @@ def test_ibans_end_where_their_country_says(spark):
     assert found_spans(spark, texts) == want
 
 
+def test_context_is_the_text_around(spark):
+    texts = ["Phone: 030 123 4567 or 030 234 5678", "555-123-4567 (phone)", "call 12 3456789, 12 3456789 12 3456789", "phone " + "x" * 48 + " 030 123 4567", "555-123-4567" + " " * 48 + "phone", "on 555-123-4567 today"]
+    assert found_spans(spark, texts) == ["tel:7:19,tel:23:35", "tel:0:12", "tel:5:15,card:17:38,tel:28:38", "", "", ""]
+
 
 # --- near duplicates ----------------------------------------------------------------------------
 
