@@ -427,6 +427,25 @@ def test_tree_matching_is_the_largest():
         assert wrapper.matches(wrapper.Slot(a), b, {}) == brute(wrapper.Slot(a), wrapper.Slot(b))
 
 
+def test_long_pages_are_matched_as_short_ones(monkeypatch):
+    def page(n):
+        return "<div>" + "".join(f"<p>Text {n} {i}</p>" for i in range(n)) + "<section>Same notice</section></div>"
+
+    slot = wrapper._load(json.loads(wrapper.induce([page(n) for n in (246, 247, 248, 249, 250)])))
+    assert "Same notice" not in wrapper.extract(page(320), slot)
+    whole = []
+    for wide in (wrapper.WIDE, 6):
+        monkeypatch.setattr(wrapper, "WIDE", wide)
+        rng = np.random.default_rng(5)
+        got = []
+        for _ in range(60):
+            a, b = rng.integers(0, 4, rng.integers(1, 14)).tolist(), rng.integers(0, 4, rng.integers(1, 14)).tolist()
+            pairs = wrapper.alignment(a, b, lambda x, y: x == y, lambda x, y: 1 + x)
+            assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) and all(a[i] == b[j] for i, j in pairs)
+            got.append(sum(1 + a[i] for i, _ in pairs))
+        whole.append(got)
+    assert whole[0] == whole[1]
+
 
 # --- quality ------------------------------------------------------------------------------------
 
