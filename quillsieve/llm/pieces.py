@@ -11,18 +11,25 @@ has no such sum: its scores order merges, and adding them gives other pieces tha
 But merging is local: pieces a, b stand side by side just when merging the text of a and b alone
 gives a, b again. So in a BPE model a piece may end at a position only if it fits behind the piece
 that ends where it starts, of which there is exactly one, and the same table of maxima and
-lengths finds it. Parts with two blanks in a row, whose pieces share one score, are merged plainly.
+lengths finds it. Characters that are no piece part a word in two. A row of blanks, whose pieces
+share one score below all others, joins from the left after all else (`blanks`): in one pass.
+
+A word of more than `LONG` characters has no others to advance with. Its substrings are probed all
+at once for each length; then a unigram model takes the maxima end by end, and a BPE model merges
+with a heap, which gives the same pieces in n log n steps.
 
 Ids are those of the sentencepiece library for both kinds of model. Supported: models without a
 character map, with blanks as U+2581. Decoding gives the text back, but that U+2581 in a text
 becomes a blank, as in the library.
 
 Defined results: a null text counts as empty and has no ids; characters that are no piece become
-their bytes' pieces, or the unknown id if the model has none.
+their bytes' pieces, or the unknown id if the model has none; repeated rows are encoded each on
+their own; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,6 +48,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 BLANK = "▁"
 CELLS = 1 << 18  # words times length that are worked on at once
+LONG = 512  # characters above which a word is worked on alone
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -138,7 +146,7 @@ class Model:
         return np.concatenate(out)
 
     def merged(self, symbols: list[str]) -> list[tuple[str, tuple[str, str] | None]]:
-        """Plain merging: the best-scored neighbours join, the leftmost of equals first."""
+        """Merging of a piece's characters: the best-scored neighbours join, the leftmost of equals first."""
         parts = [(s, None) for s in symbols]
         while True:
             best, at = None, -1
@@ -158,31 +166,70 @@ class Model:
         self.left, self.right = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
         self.reached = np.zeros(n, bool)
         pairs, ranks = [], []
+        self.joined: dict[int, tuple[int, int]] = {}  # of two pieces, as one number: how early they join, and to what
         for i in self.normal.values():
             self.reached[i] = len(self.text[i]) == 1
-        before = None
-        self.plain_only = False
+        before, level = None, 0
+        self.ties = False  # pieces of equal score: their order depends on the place
+        scores = {blank: [self.score[self.normal[t]] for t in long if (not t.strip(BLANK)) == blank] for blank in (True, False)}
+        blanks_low = not all(scores.values()) or max(scores[True]) < min(scores[False])
         for r, t in enumerate(long, 1):
             i = self.normal[t]
-            score = self.score[i]
-            if score == before and t.strip(BLANK):
-                self.plain_only = True  # pieces of equal score: their order depends on the place
-            before = score if t.strip(BLANK) else before
+            score, blank = self.score[i], not t.strip(BLANK)
+            level += score != before
+            self.ties |= score == before and not blank or not blank and BLANK in t[1:] or blank and not blanks_low
+            before = score
             self.rank[i] = r
             parts = self.merged(list(t))
             if len(parts) == 1 and all(p in self.normal for p in parts[0][1]):
                 self.left[i], self.right[i] = (self.normal[p] for p in parts[0][1])
-                self.reached[i] = True
+                self.reached[i] = not blank
             for k in range(1, len(t)):
                 a, b = self.normal.get(t[:k]), self.normal.get(t[k:])
                 if a is not None and b is not None:
-                    pairs.append(a * n + b)
-                    ranks.append(r)
-            if any(c not in self.normal for c in t):
-                self.plain_only = True
+                    self.joined[a * n + b] = level, i
+                    if not blank:
+                        pairs.append(a * n + b)
+                        ranks.append(r)
+            self.ties |= any(c not in self.normal for c in t)
         order = np.argsort(pairs)
         self.pair_keys, self.pair_ranks = np.array(pairs, np.int64)[order], np.array(ranks, np.int64)[order]
 
+    def merge_all(self, word: str) -> list[int]:
+        """Ids of a word of known characters by merging with a heap: the best-scored neighbours first, the leftmost of equals."""
+        n, size = len(self.text), len(word)
+        ids = [self.normal[c] for c in word]
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        joined = self.joined
+        heap = [found[0] << 40 | i for i in range(size - 1) if (found := joined.get(ids[i] * n + ids[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            level, i = divmod(heapq.heappop(heap), 1 << 40)
+            j = after[i]
+            if ids[i] < 0 or j >= size:
+                continue
+            found = joined.get(ids[i] * n + ids[j])
+            if not found or found[0] != level:
+                continue  # one of the two has joined another since
+            ids[i], ids[j] = found[1], -1
+            after[i] = k = after[j]
+            if k < size:
+                before[k] = i
+                if found := joined.get(ids[i] * n + ids[k]):
+                    heapq.heappush(heap, found[0] << 40 | i)
+            if (h := before[i]) >= 0 and (found := joined.get(ids[h] * n + ids[i])):
+                heapq.heappush(heap, found[0] << 40 | h)
+        return [i for i in ids if i >= 0]
+
+    def blanks(self, count: int) -> list[int]:
+        """Ids of so many blanks in a row: joined from the left, as their pieces score alike."""
+        n, one, out = len(self.text), self.normal[BLANK], []
+        for _ in range(count):
+            out.append(one)
+            while len(out) > 1 and (found := self.joined.get(out[-2] * n + out[-1])):
+                out[-2:] = [found[1]]
+        return out
+
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the text of a and b alone leaves them as they are.
 
@@ -250,35 +297,100 @@ class Model:
             at[rows] -= back[rows, at[rows]]
         return [ids[::-1] for ids in out]
 
+    def alone(self, word: str) -> list[int]:
+        """Ids of one long word; as segment() gives them."""
+        if self.model_type == BPE:
+            return self.merge_all(word)
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        size = len(codes)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(size)]  # by their ends: length and id, the longest first
+        run = np.zeros(size, np.uint64)
+        for length in range(1, min(size, self.longest) + 1):  # the hash of each substring from that of the one a character shorter
+            run = run[: size - length + 1] * _BASE + codes[length - 1 :]
+            h = ragged.mixed(run + _sized(length))
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            for start in np.flatnonzero((self.keys[at] == h) | (length == 1)).tolist():
+                found[start + length - 1].append((length, int(self.ids[at[start]]) if self.keys[at[start]] == h[start] else -1))
+        best, last, back = [np.float32(0)] + [np.float32(-np.inf)] * size, [-1] * (size + 1), [0] * (size + 1)
+        worst = np.float32(self.worst)
+        for end in range(1, size + 1):
+            for length, piece in reversed(found[end - 1]):
+                total = best[end - length] + (self.score[piece] if piece >= 0 else worst)
+                if total > best[end]:
+                    best[end], last[end], back[end] = total, piece, length
+            found[end - 1] = []
+        out, at = [], size
+        while at:
+            out.append(last[at])
+            at -= back[at]
+        return out[::-1]
+
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
+    def _units(self, word: str) -> Iterator[tuple[int, str]]:
+        """A part of a text as units: blanks in a row (their number), and words of known characters."""
+        at, size = 0, len(word)
+        while at < size:
+            end = at
+            while end < size and word[end] in self.normal:
+                end += 1
+            if end > at:
+                lead = end - at - len(word[at:end].lstrip(BLANK))
+                if not self.ties and lead > 1:
+                    rest = word[at + lead - 1 : end]  # the last blank may join what follows it
+                    yield (lead, "") if len(rest) == 1 else (lead - 1, rest)
+                else:
+                    yield 0, word[at:end]
+                at = end
+            else:
+                yield -1, word[at]
+                at += 1
+
     def work(self, parts: list[bytes]) -> list[list[int]]:
         """Ids of parts of texts, each on its own."""
         bpe = self.model_type == BPE
-        out: list[list[int]] = [[] for _ in parts]
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for i, part in enumerate(parts):
+        units: list[list[tuple[int, str]]] = []
+        done: dict[str, list[int]] = {}
+        by_length: dict[int, list[str]] = {}
+        for part in parts:
             word = part.decode().replace(" ", BLANK)
-            if bpe and (self.plain_only or BLANK + BLANK in word or any(c not in self.normal for c in word)):
-                for text, _ in self.merged(list(word)):
-                    found = self.normal.get(text)
-                    out[i] += [found] if found is not None else [b for c in text for b in self.bytes_of(c)]
-            elif word:
-                by_length.setdefault(len(word), []).append((i, word))
+            units.append(list(self._units(word)) if bpe else [(0, word)] if word else [])
+            for count, text in units[-1]:
+                if count >= 0 and text and text not in done:
+                    if bpe and self.ties:
+                        done[text] = self.merge_all(text)
+                    elif len(text) > LONG:
+                        done[text] = self.alone(text)
+                    else:
+                        done[text] = []
+                        by_length.setdefault(len(text), []).append(text)
         for size, words in by_length.items():
             step = max(1, CELLS // size)
             for k in range(0, len(words), step):
                 some = words[k : k + step]
-                codes = np.frombuffer("".join(w for _, w in some).encode("utf-32-le"), np.uint32).reshape(-1, size)
-                for (i, word), ids in zip(some, self.segment(codes), strict=True):
-                    if -1 in ids:
-                        at, full = 0, []
-                        for p in ids:
-                            full += self.bytes_of(word[at]) if p < 0 else [p]
-                            at += 1 if p < 0 else len(self.text[p])
-                        ids = full
-                    out[i] = ids
+                codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(-1, size)
+                done.update(zip(some, self.segment(codes), strict=True))
+        out = []
+        for unit in units:
+            ids: list[int] = []
+            for count, text in unit:
+                if count < 0:
+                    ids += self.bytes_of(text)
+                    continue
+                found = done[text] if text else []
+                if count:
+                    alone = bool(found) and self.text[found[0]] == BLANK  # the last blank has joined no letter
+                    ids += self.blanks(count + alone)
+                    found = found[1:] if alone else found
+                if -1 in found:
+                    at = 0
+                    for p in found:
+                        ids += self.bytes_of(text[at]) if p < 0 else [p]
+                        at += 1 if p < 0 else len(self.text[p])
+                else:
+                    ids += found
+            out.append(ids)
         return out
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -337,6 +337,23 @@ def test_bpe_pieces_are_the_librarys():
     assert back == [(t or "").replace("▁", " ") for t in texts]
 
 
+def test_long_words_and_blanks_take_linear_time():
+    """Held against the library, whose pieces of a cut text are those of its parts where the cut is sure."""
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES_FILE)
+    model, rng = pieces.Model.of(PIECES_FILE), np.random.default_rng(8)
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 3000))
+    for text in (" " * 3000 + "end", "a" + " " * 1003, letters, "z" * 2000 + letters, "\u0001" + " " * 31 + "x\u0001y", " " * 47, "ab" * 1500):
+        assert [i.tolist() for *_, i, _ in model.encode(pa.array([text]))] == [library.encode(text)]
+    for text in (" " * 100_000, "z" * 1_000_000, "".join(rng.choice(list("etaoinshrdlu"), 1_000_000))):
+        began = time.time()
+        *_, ids, counts = next(model.encode(pa.array([text])))
+        assert time.time() - began < 20 and pieces.strings(*model.decode(ids, counts)).to_pylist() == [text]
+
+
 def _field(number, kind, value):
     def varint(n):
         out = b""
@@ -362,6 +379,7 @@ def test_unigram_pieces_are_the_librarys():
     library = sentencepiece.SentencePieceProcessor()
     library.LoadFromSerializedProto(proto)
     model, texts = pieces.Model(proto), [t or "" for t in fuzz(800, 3)]
+    texts.append("".join(rng.choice(list("aetions"), 2000)))  # beyond LONG
     got = []
     for _, _, ids, counts in model.encode(pa.array(texts)):
         got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
