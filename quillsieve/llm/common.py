@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: White space of the word contracts: blank and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
@@ -117,14 +118,25 @@ def even_tree(parts: int, width: int = 32) -> list[int]:
     return steps
 
 
-def id_ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[Column, list]:
-    """The number of a row's range of ids, from cuts at approximate quantiles (at most parts - 1 of them), and the cuts.
+def literal_array(values: list, kind: str) -> Column:
+    """An array that the optimizer folds to one literal, however many values it has (none of them with a comma)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-    Numbers rise with the id, 0 to the count of cuts; null ids are in range 0.
+
+def id_ranges(docs: DataFrame, id_col: str, parts: int) -> tuple[Column, int]:
+    """The number of a row's range of ids, from cuts at approximate quantiles, and how many ranges there are (at most `parts`).
+
+    Numbers rise with the id, from 0; null ids are in range 0. Ids are numbers. A row's range is
+    found by binary search in one literal.
     """
-    cuts = docs.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], 100 * parts).alias("q")).first().q
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, NumericType):
+        raise ValueError(f"{id_col}: ids that are put in order have to be numbers, not {kind.simpleString()}")
+    shares = literal_array([i / parts for i in range(1, parts)] or [0.5], "double")
+    cuts = docs.agg(F.percentile_approx(id_col, shares, 20 * parts).alias("q")).first().q
     cuts = sorted(set(cuts or []))
     if not cuts:
-        return F.lit(0), []
-    edges, key = F.array(*map(F.lit, cuts)), F.col(id_col)
-    return F.when(key.isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda e: e <= key))), cuts
+        return F.lit(0), 1
+    edges, key = literal_array(cuts, kind.simpleString()), F.col(id_col)
+    steps = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) <= key, at + step).otherwise(at)), len(cuts) + 1

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..shipping import ship
 from . import ragged
@@ -75,22 +77,24 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Encoder:
     """Texts to ids by the tokenizers library; each distinct piece is encoded once while the table lasts."""
 
-    kept: dict[str, Encoder] = {}
+    kept: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str, most: int = 1 << 19) -> None:
+    def __init__(self, path: str, plain_specials: bool = False, most: int = 1 << 19) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain_specials and t.special)]
+        self.whole = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.memo = ragged.Memo(np.uint32, most)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, plain_specials: bool = False) -> Encoder:
         """One for each Python worker, kept from task to task."""
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
+        if (path, plain_specials) not in cls.kept:
+            cls.kept[path, plain_specials] = cls(path, plain_specials)
+        return cls.kept[path, plain_specials]
 
     def work(self, pieces: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -99,12 +103,24 @@ class Encoder:
             out += [e.ids for e in done]
         return out
 
+    def uncut(self, part: np.ndarray, at: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes away the cuts within texts that hold an added token, which the library looks for before all else."""
+        hits = [m.start() for m in self.whole.finditer(part)] if self.whole else []
+        if not hits:
+            return starts, first
+        held = np.zeros(len(at) - 1, bool)
+        held[np.searchsorted(at, hits, "right") - 1] = True
+        text = np.searchsorted(at, starts, "right") - 1
+        starts = starts[~held[text] | (starts == at[text])]
+        return starts, np.searchsorted(starts, at)
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges of rows: first, end, all their ids joined, ids of each row."""
         data, offsets = ragged.utf8(texts)
         for i, j in ragged.chunks(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, first = cut_points(part, at)
+            starts, first = self.uncut(part, at, starts, first)
             ends = np.append(starts[1:], len(part)) if len(starts) else starts
             ids, lengths = self.memo.look_up(part, starts, ends, self.work)
             total = np.append(0, np.cumsum(lengths))
@@ -117,9 +133,9 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[n
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
 
 
-def _encode(path: str, end_id: int | None, code: str):
+def _encode(path: str, end_id: int | None, code: str, plain_specials: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, plain_specials)
         for batch in batches:
             for i, j, ids, counts in encoder.encode(batch.column(1)):
                 ids, counts = with_end(ids, counts, end_id)
@@ -248,17 +264,23 @@ def _write(folder: str):
     return run
 
 
-def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, folder: str | None = None) -> str:
-    """Writes the ids of every text to a folder (a new shared one by default) and returns that."""
+def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, folder: str | None = None, plain_specials: bool = False) -> str:
+    """Writes the ids of every text to a folder (a new shared one by default) and returns that.
+
+    The strings of special tokens in a text become those tokens, as the library has it, or with
+    plain_specials ordinary text. Ids have to be whole numbers.
+    """
     from tokenizers import Tokenizer
 
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col}: document ids of token files have to be whole numbers")
     spark = docs.sparkSession
     ship(spark)
     folder = folder or new_folder(spark, "tokens")
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), (end_id or 0) + 1)
     code = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encoded = staged(rows.mapInArrow(_encode(path, end_id, code), "doc_id long, n_ids long, ids binary"), "ids")
+    encoded = staged(rows.mapInArrow(_encode(path, end_id, code, plain_specials), "doc_id long, n_ids long, ids binary"), "ids")
     counted = encoded.select("ids").mapInArrow(_count(code, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     count = np.zeros(vocabulary, np.int64)
     for r in counted:
@@ -267,11 +289,11 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     rank = np.empty(vocabulary, np.uint32)
     rank[order] = np.arange(vocabulary, dtype=np.uint32)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    place, _ = id_ranges(encoded, "doc_id", 2 * tasks)
+    place, ranges = id_ranges(encoded, "doc_id", 2 * tasks)
     packed = encoded.select(place.alias("range"), "doc_id", "n_ids", "ids").mapInArrow(_pack(rank, code), "range int, doc_id long, n_ids long, control binary, data binary")
     system, root = _open(folder)
     system.create_dir(root, recursive=True)
-    ordered = packed.repartition(tasks, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "n_ids", "control", "data")
+    ordered = packed.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "n_ids", "control", "data")
     parts = sorted(ordered.mapInArrow(_write(folder), "range long, docs long, ids long").collect())  # one row a file
     with system.open_output_stream(f"{root}/ranks.bin") as out:
         out.write(order.astype("<u4").tobytes())

@@ -11,7 +11,8 @@ their logarithm, and nothing is gathered from other rows.
 
 Defined results: a null text counts as empty; a text without words has the empty fingerprint; one
 of fewer than k words is one run; equal texts have equal fingerprints; two empty fingerprints
-have likeness 1, an empty one and another 0.
+have likeness 1, an empty one and another 0; repeated rows follow each other; an empty table gives
+an empty table. In a text without blanks there is one word, so its likeness to another is 0 or 1.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, id_ranges
+from .common import SPACE, fresh, id_ranges, literal_array
 
 K = 5
 WINDOW = 4
@@ -99,8 +100,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
 
 
-def with_next(docs: DataFrame, id_col: str, text: str, prepare, carried: list[str]) -> DataFrame:
-    """prepare(docs), with next_<c> of the following row for each c in `carried`.
+def with_next(docs: DataFrame, id_col: str, text: str, prepare, carried: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """prepare(docs), with columns of the following row for each c in `carried`, and the names these have (next_<c> if free).
 
     The following row is the one next in ascending order of id; after the last comes the first.
     Rows of one id follow each other by text, a null id comes first. Ids are cut into ranges at
@@ -108,30 +109,30 @@ def with_next(docs: DataFrame, id_col: str, text: str, prepare, carried: list[st
     to the range before, so the text moves once and no order over all rows is needed. prepare
     runs after that move.
     """
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 3 * tasks
-    part, copy, wraps = fresh(docs, "range_no", "range_copy", "range_wraps")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, copy, wraps, own = fresh(docs, "range_no", "range_copy", "range_wraps", "range_own")
     key = F.col(id_col)
-    place, _ = id_ranges(docs, id_col, parts)
-    heads = sorted(docs.select(place.alias("part"), key.alias("id")).groupBy("part").agg(F.min(F.struct("id")).alias("head")).collect())
-    rows = docs.withColumn(part, place)
-    copies = F.array(F.struct(F.col(part).alias("p"), F.lit(0).alias("w")))
-    if heads:  # at most `parts` of them
-        nothing = F.lit(None).cast(docs.schema[id_col].dataType)
-        by_part = dict((r.part, r.head.id) for r in heads)
-        before = {r.part: heads[i - 1].part for i, r in enumerate(heads)}
-        first = F.array(*[F.lit(by_part[i]) if by_part.get(i) is not None else nothing for i in range(heads[-1].part + 1)])
-        to = F.array(*[F.lit(before.get(i, 0)) for i in range(heads[-1].part + 1)])
-        again = F.struct(F.get(to, F.col(part)).alias("p"), (F.col(part) == heads[0].part).cast("int").alias("w"))
-        copies = F.when(key.eqNullSafe(F.get(first, F.col(part))), F.array(F.element_at(copies, 1), again)).otherwise(copies)
+    place, ranges = id_ranges(docs, id_col, 2 * tasks)
+    heads = sorted(docs.select(place.alias("part"), key.alias("id")).groupBy("part").agg(F.min(F.struct("id")).alias("head")).collect())  # one row a range
+    rows = docs.withColumn(own, place)
+    copies = F.array(F.struct(F.col(own).alias("p"), F.lit(0).alias("w")))
+    if heads:
+        first, to = [0] * ranges, [0] * ranges
+        for i, r in enumerate(heads):
+            first[r.part], to[r.part] = 0 if r.head.id is None else r.head.id, heads[i - 1].part
+        least = F.get(literal_array(first, docs.schema[id_col].dataType.simpleString()), F.col(own))
+        if heads[0].head.id is None:
+            least = F.when(F.col(own) == heads[0].part, F.lit(None)).otherwise(least)
+        again = F.struct(F.get(literal_array(to, "int"), F.col(own)).alias("p"), (F.col(own) == heads[0].part).cast("int").alias("w"))
+        copies = F.when(key.eqNullSafe(least), F.array(F.element_at(copies, 1), again)).otherwise(copies)
     rows = rows.select("*", F.posexplode(copies).alias(wraps, copy))
-    rows = rows.withColumn(part, F.col(f"{copy}.p")).repartition(tasks, part)
+    rows = rows.withColumn(part, F.col(f"{copy}.p")).drop(own).repartitionById(ranges, F.col(part))
     rows = prepare(rows)
     order = Window.partitionBy(part).orderBy(F.col(f"{copy}.w"), key.asc_nulls_first(), F.col(text).asc_nulls_first())
+    new = dict(zip(carried, fresh(rows, *(f"next_{c}" for c in carried)), strict=True))
     (following,) = fresh(rows, "following")
     rows = rows.withColumn(following, F.lead(F.struct(*carried)).over(order)).where(F.col(wraps) == 0)
-    return rows.withColumns({f"next_{c}": F.col(f"{following}.{c}") for c in carried}).drop(part, copy, wraps, following)
+    return rows.withColumns({new[c]: F.col(f"{following}.{c}") for c in carried}).drop(part, copy, wraps, following), new
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -141,7 +142,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def prepare(rows: DataFrame) -> DataFrame:
         return fingerprints(rows, "text", "fp", k, window).withColumn("hs", hashes(F.col("fp")))
 
-    rows = with_next(base, "doc_id", "text", prepare, ["text", "hs"])
+    rows, _ = with_next(base, "doc_id", "text", prepare, ["text", "hs"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     moved = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - moved).cast("int")), F.substring("next_text", F.lit(1), moved)))

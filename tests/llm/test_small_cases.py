@@ -124,7 +124,6 @@ def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE_FILE)
-    tokenizer.encode_special_tokens = True
     folder = token_io.write(docs, BPE_FILE, folder=f"file://{tmp_path}/out")
     got = sorted(token_io.read(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
     want = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, _ in DOCS]
@@ -139,6 +138,38 @@ def test_token_files(spark, docs, tmp_path):
     assert token_io.read(spark, empty).count() == 0
 
 
+def test_strings_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["", "a word<|endoftext|> and more, it's so", "<|endoftext|><|endoftext|>", "end <|endoftext|>", "<|endof", "text|> no", "tail  ", "x <|endoftext|>  "]
+    for plain in (False, True):
+        tokenizer = Tokenizer.from_file(BPE_FILE)
+        tokenizer.encode_special_tokens = plain
+        got = []
+        for _, _, ids, counts in token_io.Encoder.of(BPE_FILE, plain).encode(pa.array(texts)):
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert any(50256 in tokenizer.encode(t, add_special_tokens=False).ids for t in texts) is False
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_io.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), BPE_FILE)
+
+
+def test_many_ranges(spark):
+    import time
+
+    from quillsieve.llm.common import id_ranges
+
+    table = spark.createDataFrame([(i * 7 - 500,) for i in range(1000)] + [(None,)], "id long")
+    began = time.time()
+    place, n = id_ranges(table, "id", 30_000)
+    got = sorted(((r.id, r.p) for r in table.select("id", place.alias("p")).collect()), key=lambda x: (x[0] is not None, x[0]))
+    assert time.time() - began < 15 and n <= 1001
+    assert [p for _, p in got] == sorted(p for _, p in got) and got[0] == (None, 0) and got[-1][1] == n - 1
+    cuts = sorted(i for i in (r.q for r in table.selectExpr("explode(percentile_approx(id, array(0.25, 0.5, 0.75), 80)) AS q").collect()))
+    place, n = id_ranges(table, "id", 4)
+    assert n == 4 and {(r.id, r.p) for r in table.select("id", place.alias("p")).collect()} == {(i, sum(i is not None and c <= i for c in cuts)) for i, _ in got}
+
+
 def test_packing():
     rng = np.random.default_rng(3)
     numbers = rng.integers(0, 1 << 32, 5000, dtype=np.uint64).astype(np.uint32) >> rng.integers(0, 32, 5000).astype(np.uint32)
@@ -151,7 +182,6 @@ def test_pieces_of_a_text_join(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE_FILE)
-    tokenizer.encode_special_tokens = True
     rng = np.random.default_rng(7)
     texts = ["".join(rng.choice(list("abcÄéß 's.,!?\n\t  <|>1'中🙂"), rng.integers(0, 60))) for _ in range(1500)] + ["it's <|endoftext|>  a", "a  b", " "]
     encoder = token_io.Encoder(BPE_FILE, most=500)
