@@ -4,7 +4,8 @@ Regular expressions propose spans, checksums and value ranges confirm them (Luhn
 mod-97 for IBANs, 255 for the parts of an address), and words nearby adjust a score. The base
 kinds email, ip, card and phone stay once confirmed, whatever their score. The further kinds need
 a score of `threshold`: iban (confirmed by mod-97), and tel, a number written without a plus
-sign, which only context makes personal.
+sign, and secret, a run of letters and digits such as a key (confirmed by having three of either),
+which only context makes personal.
 
 Offsets are code points, the end exclusive. They come from the lengths of the pieces between and
 in the matches of one pattern. Patterns are written so that a match can only start where a run of
@@ -13,7 +14,9 @@ and without overlap, in time linear in the text and without recursion. Of an IBA
 four characters are matched: it ends at its country's length, whatever follows a blank after it,
 and where no length is known, at the longest whole word up to which mod-97 holds.
 
-Defined results: a null text counts as empty; a text without matches has no spans.
+Defined results: a null text counts as empty; a text without matches has no spans; spans of two
+kinds may overlap, and of those with one start the kind listed first comes first; repeated rows are
+searched each on their own; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ class Kind:
 
 
 LOCAL = "A-Za-z0-9._%+-"
+KEY = "A-Za-z0-9+/_-"
 KINDS = (
     Kind("email", f"(?:\\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", "", "@", 0.9, "mail|contact|write"),
     Kind("ip", "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++", "[0-9]\\.[0-9]", None, 0.6, "\\bip\\b|address|host|server"),
@@ -56,6 +60,7 @@ KINDS = (
     Kind("phone", "\\+[0-9][\\x20().0-9-]+[0-9]", "\\+[0-9]", None, 0.7, "phone|tel|call|mobile|fax|handy|m[oó]vil"),
     Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\\x20?[A-Z0-9]){11})", "[A-Z]{2}[0-9]{2}(?:\\x20?[A-Z0-9]){11}", None, 0.7, "iban|account|bank|konto|compte|cuenta", False),
     Kind("tel", "(?<![+0-9A-Za-z.-])(?<!\\+[0-9]{1,3}[\\x20.-])\\(?[0-9]{2,5}\\)?[\\x20./-][0-9]{3,4}[\\x20.-]?[0-9]{3,5}(?!\\x20?[0-9])(?![A-Za-z])", "[0-9]{2}\\)?[\\x20./-][0-9]{3}", None, 0.3, "phone|\\btel|call|mobile|fax|handy|m[oó]vil", False),
+    Kind("secret", f"(?<![={KEY}])[{KEY}]{{20,}}+={{0,2}}+(?![={KEY}])", f"[{KEY}]{{20}}", None, 0.4, "token|secret|passw|passphrase|api[\\x20_-]?key|access[\\x20_-]?key|private[\\x20_-]?key|credential|bearer|\\bauth", False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -88,6 +93,8 @@ def confirmed(kind: Kind, match: Column) -> Column:
         return F.length(digits).between(9 if kind.base else 7, 15)
     if kind.name == "iban":
         return iban_ok(match)
+    if kind.name == "secret":
+        return (F.length(digits) >= 3) & (F.length(F.regexp_replace(match, "[^A-Za-z]", "")) >= 3)
     return F.lit(True)
 
 
@@ -160,8 +167,9 @@ def joined(found: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, counts of the base kinds, a digest of the base spans, all spans."""
+    """One row per document: its id, counts of the base kinds, a digest of the base spans, all spans, and the score of each in hundredths."""
     rows = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "found")
     count = lambda name: F.size(F.filter("found", lambda s: s["kind"] == name)).cast("long")
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
-    return rows.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    scores = F.array_join(F.transform("found", lambda s: F.round(100 * s["score"]).cast("int").cast("string")), ",")
+    return rows.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), scores.alias("scores"))
