@@ -38,7 +38,9 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.perspectives(table(spark, sf_dir, "conversations"))
+    made = chat.dialogues(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("trained", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return made.withColumn("trained", spans)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,27 +109,36 @@ SQL: dict[str, str] = {
         SELECT s.doc_id, s.size, p.source_size, p.target, CAST(s.size * p.whole + floor(s.size * t.share + 1e-9) AS BIGINT) AS taken
         FROM sizes s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source JOIN taken t ON s.source IS NOT DISTINCT FROM t.source AND s.key = t.key
     """,
-    "op5_perspectives": """
-        WITH turns AS (
-            SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations
+    "op5_perspectives": r"""
+        WITH cleaned AS (
+            SELECT conv_id, turn, regexp_replace(replace(coalesce(role, ''), '<|', '< |'), '[\x{0}-\x{1F}\x{7F}-\x{9F}\x{2028}\x{2029}]', ' ', 'g') AS speaker,
+                   replace(coalesce(text, ''), '<|', '< |') AS words
+            FROM conversations
+        ), alone AS (
+            SELECT *, md5(speaker || chr(10) || md5(words)) AS alone FROM cleaned
+        ), turns AS (
+            SELECT conv_id, turn, speaker, words, CASE WHEN turn IS NULL THEN alone ELSE md5(words) END AS digest,
+                   coalesce('=' || CAST(conv_id AS VARCHAR), '#' || coalesce(CAST(turn AS VARCHAR), '') || '#' || alone) AS k,
+                   CASE WHEN turn IS NULL THEN -(1 << 60) + CAST('0x' || alone[1:3] AS BIGINT) ELSE CAST(floor(turn / 1024) AS BIGINT) END AS block
+            FROM alone
         ), who AS (
-            SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
+            SELECT DISTINCT k, speaker AS perspective FROM turns WHERE speaker <> 'system'
         ), seen AS (
             SELECT t.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
-            FROM turns t JOIN who w ON t.conv_id IS NOT DISTINCT FROM w.conv_id
+            FROM turns t JOIN who w ON t.k = w.k
         ), heads AS (
             SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM seen
         ), segments AS (
             SELECT *, head || words || '<|im_end|>' || chr(10) AS segment FROM heads
         ), placed AS (
-            SELECT *, CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, words
-                                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-            FROM segments
+            SELECT *, CAST(coalesce(sum(length(segment)) OVER (whole ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+                   (row_number() OVER (PARTITION BY k, block, perspective ORDER BY turn NULLS FIRST, CASE WHEN turn IS NOT NULL THEN speaker END, digest) - 1) // 1024 AS piece
+            FROM segments WINDOW whole AS (PARTITION BY k, perspective ORDER BY block, turn NULLS FIRST, CASE WHEN turn IS NOT NULL THEN speaker END, digest)
         )
-        SELECT conv_id, perspective, turn, role, speaker AS name, segment, start, start + length(segment) AS "end",
-               CASE WHEN role = 'assistant' THEN start + length(head) END AS trained_start,
-               CASE WHEN role = 'assistant' THEN start + length(segment) - 1 END AS trained_end
-        FROM placed
+        SELECT any_value(conv_id) AS conv_id, perspective, min(start) AS start, count(*) AS n_turns, string_agg(segment, '' ORDER BY start) AS text,
+               coalesce(string_agg(CAST(start + length(head) AS VARCHAR) || ':' || CAST(start + length(segment) - 1 AS VARCHAR), ',' ORDER BY start)
+                        FILTER (role = 'assistant'), '') AS trained
+        FROM placed GROUP BY k, block, perspective, piece
     """,
     "op4_minhash": """
         WITH RECURSIVE words AS (
