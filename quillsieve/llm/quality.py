@@ -7,8 +7,12 @@ threshold is a quantile of the strengths of the fitted documents: the share of l
 labels that may be used. The score is the logistic function of strength minus threshold, so the
 documents above the threshold have 0.5 or more.
 
+Features are surface counts and a profile of words: shares of hashed words and of hashed pairs of
+words that follow each other, in `BUCKETS` buckets each, under a heavier ridge.
+
 The model is fitted on at most `fit_rows` labelled rows of either label, those of the least
-hashed ids; everything else covers all rows. Whole texts are read, and only texts.
+hashed ids, put in the order of their ids and features, so that a model doesn't depend on how rows
+arrive; everything else covers all rows. Whole texts are read, and only texts.
 
 Defined results: a null text counts as empty and is scored like it; rows without a label or id
 are not fitted on; a row labelled twice is fitted on twice; without rows of both labels every
@@ -31,6 +35,8 @@ from .common import fresh
 
 FIT_ROWS = 10_000
 PAIRS_A_ROW = 8
+BUCKETS = 64
+RIDGE, PROFILE_RIDGE = 1e-3, 1e-1
 
 MARKS = np.zeros(256, bool)
 MARKS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,"]] = True
@@ -43,12 +49,13 @@ DIGIT[48:58] = True
 STOP = np.zeros(256, bool)
 STOP[[ord("."), ord(",")]] = True
 NAMES = ("size", "upper", "marks", "stops", "digits", "again", "distinct", "length", "bare", "tails", "lines", "most", "pairs", "same_lines")
+WIDTH = len(NAMES) + 2 * BUCKETS
 
 
 def features(texts: pa.Array) -> np.ndarray:
     """One row of numbers for each text; zeros for one without words."""
     data, offsets = ragged.utf8(texts)
-    out = np.zeros((len(texts), len(NAMES)))
+    out = np.zeros((len(texts), WIDTH))
     for i, j in ragged.chunks(offsets):
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = ragged.words(part, at)
@@ -68,6 +75,7 @@ def features(texts: pa.Array) -> np.ndarray:
         bare = run[ends] == run[starts]
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
+        same[first[:-1][first[:-1] < len(h)]] = False  # nothing before a text counts
         last = ends - 1
         tails = (ends - starts > 2) & MARKS[part[last]] & (part[last] == part[np.maximum(last - 1, 0)])
         distinct, most, pairs, same_lines = (np.zeros(j - i) for _ in range(4))
@@ -100,7 +108,13 @@ def features(texts: pa.Array) -> np.ndarray:
             np.where(words > 1, pairs, 1.0),
             np.sqrt(same_lines),
         ]
-        out[i:j] = np.where(words[:, None] > 0, np.stack(rows, 1), 0.0)
+        out[i:j, : len(NAMES)] = np.where(words[:, None] > 0, np.stack(rows, 1), 0.0)
+        text = np.repeat(np.arange(j - i), words)
+        for k, some, which in ((0, h, text), (1, two, np.where(text[1:] == text[:-1], text[1:], j - i) if len(h) > 1 else text[:0])):  # pairs across texts go to a row of their own
+            bucket = (some >> np.uint64(40)).astype(np.int64) % BUCKETS
+            tally = np.bincount(which * BUCKETS + bucket, minlength=(j - i + 1) * BUCKETS)[: (j - i) * BUCKETS].reshape(-1, BUCKETS)
+            at = len(NAMES) + k * BUCKETS
+            out[i:j, at : at + BUCKETS] = np.sqrt(tally / np.maximum(words - k, 1)[:, None])
     return out
 
 
@@ -118,21 +132,33 @@ class Model:
         return ((x - self.mean) / self.scale) @ self.weight
 
 
-def fit(good: np.ndarray, bad: np.ndarray, share_bad: float, ridge: float = 1e-3, seed: int = 5) -> Model:
+def gradient(w: np.ndarray, good: np.ndarray, bad: np.ndarray, pairs: np.ndarray, ridge: np.ndarray, step: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the mean logistic loss over pairs of rows, with a ridge; differences of a few pairs at a time."""
+    slope, bend = ridge * w, np.diag(ridge)
+    for i in range(0, len(pairs), step):
+        d = good[pairs[i : i + step, 0]] - bad[pairs[i : i + step, 1]]
+        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+        slope = slope - d.T @ p / len(pairs)
+        bend = bend + (d * (p * (1 - p))[:, None]).T @ d / len(pairs)
+    return slope, bend
+
+
+def fit(good: np.ndarray, bad: np.ndarray, share_bad: float, seed: int = 5) -> Model:
     """good, bad: features of documents with label 1 and 0."""
-    k = len(NAMES)
+    k = good.shape[1]
     if not len(good) or not len(bad):
         return Model(np.zeros(k), np.ones(k), np.zeros(k), 0.0)
     both = np.vstack([good, bad])
-    mean, scale = both.mean(0), both.std(0) + 1e-9
+    mean, scale = both.mean(0), both.std(0) + 1e-6
     rng = np.random.default_rng(seed)
     n = PAIRS_A_ROW * max(len(good), len(bad))
-    d = (good[rng.integers(0, len(good), n)] - bad[rng.integers(0, len(bad), n)]) / scale
+    pairs = np.stack([rng.integers(0, len(good), n), rng.integers(0, len(bad), n)], 1)
+    ridge = np.where(np.arange(k) < len(NAMES), RIDGE, PROFILE_RIDGE)
     w = np.zeros(k)
-    for _ in range(30):  # Newton's method on the mean logistic loss with a ridge
-        p = 1 / (1 + np.exp(d @ w))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(k), (d * p[:, None]).mean(0) - ridge * w)
-        w += step
+    for _ in range(30):  # Newton's method
+        slope, bend = gradient(w, good / scale, bad / scale, pairs, ridge)
+        step = np.linalg.solve(bend, slope)
+        w -= step
         if np.abs(step).max() < 1e-9:
             break
     model = Model(mean, scale, w, 0.0)
@@ -151,8 +177,8 @@ def held_out(doc_id: Column) -> Column:
 def _features():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["quality", "x"])
+            x = features(batch.column(2)).astype("<f8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "quality", "x"])
 
     return run
 
@@ -163,12 +189,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).where(F.col("id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("id")))
     seen = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(seen) < 2:
-        return fit(np.zeros((0, len(NAMES))), np.zeros((0, len(NAMES))), 0.5)
+        return fit(np.zeros((0, WIDTH)), np.zeros((0, WIDTH)), 0.5)
     picked = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(fit_rows) for q in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # at most 2 * fit_rows rows of two numbers
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    rows = texts.select("quality", "text").mapInArrow(_features(), "quality int, x array<double>").collect()
-    x, y = np.array([r.x for r in rows]).reshape(-1, len(NAMES)), np.array([r.quality for r in rows])
+    rows = texts.select(F.col("id").cast("string").alias("id"), "quality", "text").mapInArrow(_features(), "id string, quality int, x binary").collect()
+    rows.sort(key=lambda r: (r.id, r.quality, bytes(r.x)))
+    x, y = np.frombuffer(b"".join(r.x for r in rows), "<f8").reshape(-1, WIDTH), np.array([r.quality for r in rows])
     return fit(x[y == 1], x[y == 0], seen[0] / (seen[0] + seen[1]))
 
 
