@@ -119,7 +119,7 @@ SQL: dict[str, str] = {
         ), turns AS (
             SELECT conv_id, turn, speaker, words, CASE WHEN turn IS NULL THEN alone ELSE md5(words) END AS digest,
                    coalesce('=' || CAST(conv_id AS VARCHAR), '#' || coalesce(CAST(turn AS VARCHAR), '') || '#' || alone) AS k,
-                   CASE WHEN turn IS NULL THEN -(1 << 60) + CAST('0x' || alone[1:3] AS BIGINT) ELSE CAST(floor(turn / 1024) AS BIGINT) END AS block
+                   CASE WHEN turn IS NULL THEN -1152921504606846976 + CAST('0x' || alone[1:3] AS BIGINT) ELSE CAST(floor(turn / 1024) AS BIGINT) END AS block
             FROM alone
         ), who AS (
             SELECT DISTINCT k, speaker AS perspective FROM turns WHERE speaker <> 'system'
