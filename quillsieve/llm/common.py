@@ -75,9 +75,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Marks df for broadcasting. The caller states the proven bound on its rows, which is checked against the byte limit."""
-    if rows * max(64, 16 * len(df.columns)) > BROADCAST_BYTES:
+def small(df: DataFrame, rows: int, width: int | None = None) -> DataFrame:
+    """Marks df for broadcasting. The caller states the proven bounds on its rows and their bytes, which are checked against the limit."""
+    if rows * (width or max(64, 16 * len(df.columns))) > BROADCAST_BYTES:
         return df
     return F.broadcast(df)
 

@@ -9,9 +9,11 @@ chance that it reaches the threshold falls below `miss`. Survivors are verified
 Groups stay whole without listing their pairs. First every node is compared with one node alone,
 the least of most of its buckets (its pivot); the links give components. Then only buckets that
 still hold several components are searched, for pairs across components, in blocks of bounded
-size: members of a bucket's largest component meet only those outside it. A few pairs of each
-node come first, as their links spare others, then all that are left. When no pair across
-components is left, each component is the same as all links would give.
+size: members of a bucket's largest component meet only those outside it, and a pair meets in the
+first band it shares. A block first passes on, by signatures alone, the nodes that have a pair
+left; those meet again with their texts, and the block gives no more links than join its nodes.
+So what is written grows with the nodes in blocks, never with their pairs, and as every pair
+across components is tested, each component is the same as all links would give.
 
 Defined results: words are runs without blanks, with A-Z in lower case; a text with fewer words
 than a shingle is one shingle; without words or with a null text the set is empty and linked with
@@ -40,7 +42,7 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
 BLOCK = 1024  # nodes of a bucket that are compared with as many others in one step
-FEW = (4, 32)  # pairs of a node that are verified in the first rounds; then all
+SHINGLES = 1 << 20  # or nodes of so many shingles together
 
 _rng = np.random.default_rng(20_240_611)
 TURN = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -189,57 +191,83 @@ def _against_pivots(pairs: DataFrame, payload: DataFrame, run: Callable) -> Data
 # --- pairs across components --------------------------------------------------------------------
 
 
-def _across(steps: list[tuple[int, int]], few: int, percent: int):
-    """Rows b0, b1, bucket, half, node, comp, size, sig in runs of one block pair: pairs across components that pass.
+KEYS = ("b0", "b1", "bucket")
 
-    half tells the block: 0 the first, 1 the second; a pair of a block with itself has halves 0 alone.
-    `cut` marks pairs of a run whose further pairs were put off.
-    """
 
-    def step(half: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[list, list, bool]:
-        a, b, left = [], [], False
-        one, two = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
-        for k, i in enumerate(one):
-            rest = two if len(two) else one[k + 1 :]
-            rest = rest[(comp[rest] != comp[i]) & near_sizes(size[rest], size[i], percent)]
-            if not len(rest):
-                continue
-            passed, matches = survivors(np.broadcast_to(sig[i], (len(rest), sig.shape[1])), sig[rest], steps)
-            if few and len(passed) > few:
-                passed, left = passed[np.argsort(-matches, kind="stable")[:few]], True
-            a += [node[i]] * len(passed)
-            b += node[rest[passed]].tolist()
-        return a, b, left
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block pair, which follow each other, as one table."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        keys = np.stack([rows[k].to_numpy() for k in KEYS])
+        edges = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True]).tolist()
+        for s, e in zip(edges[:-2], edges[1:-1], strict=True):
+            yield rows.slice(s, e - s)
+        held = rows.slice(edges[-2])
+    if held is not None:
+        yield held
+
+
+def _partners(rows: pa.Table, steps: list[tuple[int, int]], percent: int, a_band: int, joined: Callable[[int], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each row of a block pair: the later rows (of the other half, if there are two) that pass the test with it and meet it in no earlier band.
+
+    a_band: rows of the signature in a band. joined gives the present components of the rows;
+    pairs within one are left out.
+    """
+    half, band, size = (rows[c].to_numpy() for c in ("half", "band", "size"))
+    sig = _rows(rows["sig"].combine_chunks())
+    one, two = np.flatnonzero(half == 0), np.flatnonzero(half == 1)
+    for k, i in enumerate(one.tolist()):
+        rest = two if len(two) else one[k + 1 :]
+        comp = joined(i)
+        rest = rest[(comp[rest] != comp[i]) & near_sizes(size[rest], size[i], percent)]
+        if len(rest):
+            passed, _ = survivors(np.broadcast_to(sig[i], (len(rest), sig.shape[1])), sig[rest], steps)
+            rest = rest[passed]
+            same = (sig[rest] == sig[i])[:, : BANDS * a_band].reshape(len(rest), BANDS, a_band).all(2)
+            rest = rest[same.argmax(1) == band[i]]
+            if len(rest):
+                yield i, rest
+
+
+def _active(steps: list[tuple[int, int]], percent: int, a_band: int):
+    """Rows of block pairs: those that have a partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([rows.column(i).to_numpy() for i in range(3)])
-            half, node, comp, size = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
-            sig = _rows(rows.column(7).combine_chunks() if rows.num_rows else pa.array([], pa.binary()))
-            edges = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0), True])
-            out: list[list] = [[], [], []]
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                a, b, left = step(half[s:e], node[s:e], comp[s:e], size[s:e], sig[s:e])
-                out[0] += a
-                out[1] += b
-                out[2] += [left] * len(a)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "cut"])
+        for rows in _blocks(batches):
+            comp, keep = rows["comp"].to_numpy(), np.zeros(rows.num_rows, bool)
+            for i, partners in _partners(rows, steps, percent, a_band, lambda _, comp=comp: comp):
+                keep[i] = keep[partners] = True
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).combine_chunks().to_batches()
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
-            last = [rows.column(i)[-1].as_py() for i in range(3)] if rows.num_rows else None
-            if not last:
-                continue
-            same = np.logical_and.reduce([rows.column(i).to_numpy() == last[i] for i in range(3)])
-            whole = int(np.argmax(same))
-            if whole:
-                yield done(rows.slice(0, whole))
-            held = rows.slice(whole)
-        if held is not None:
-            yield done(held)
+    return run
+
+
+def _link(width: int, steps: list[tuple[int, int]], percent: int, a_band: int):
+    """Rows of block pairs with texts: links (a, b) that join what all links between partners join, verified on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy().copy()
+            sets = list(shingle_sets(rows["text"].combine_chunks(), width))
+            a, b = [], []
+            for i, partners in _partners(rows, steps, percent, a_band, lambda _, comp=comp: comp):
+                mine, sizes = sets[i], np.array([len(sets[j]) for j in partners])
+                every = np.concatenate([sets[j] for j in partners])
+                at = np.searchsorted(mine, every)
+                at[at == len(mine)] = 0
+                both = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+                for j in partners[100 * both >= percent * (len(mine) + sizes - both)].tolist():
+                    if comp[j] != comp[i]:
+                        comp[comp == comp[j]] = comp[i]
+                        a.append(node[i])
+                        b.append(node[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -276,7 +304,7 @@ def links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, miss: flo
     steps = least_matches(percent / 100, miss)
     width_of = 4 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width_of + 1, F.lit(width_of))))
-    banded = sigs.select("node", F.explode(bands).alias("bucket"))
+    banded = sigs.select("node", "size", F.posexplode(bands).alias("band", "bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = staged(banded.join(buckets, "bucket"), "buckets")
     votes = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("votes"))
@@ -284,30 +312,24 @@ def links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, miss: flo
     pairs = best.select((-F.col("best.pivot")).alias("a"), F.col("node").alias("b"))
     pruned = staged(_against_pivots(staged(pairs, "pairs"), sigs, _prune(steps, percent)), "pairs")
     found = staged(_against_pivots(pruned, texts, _verify(width, percent)), "links")
-    tested = pruned
-    for few in (*FEW, 0):
-        comp = components(found)
-        marked = shared.join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        marked = staged(marked, "marked")
-        # In each open bucket all but its largest component are strays; only pairs with a stray can be new.
-        sized = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_ = sized.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        open_ = open_.select("bucket", F.col("most.comp").alias("largest"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("strays"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("others"))
-        rows = marked.join(open_, "bucket").join(sigs, "node")
-        stray, spread = F.col("comp") != F.col("largest"), F.hash("node")
-        rows = rows.withColumn("mine", F.when(stray, F.pmod(spread, F.col("strays"))).otherwise(F.col("strays") + F.pmod(spread, F.col("others"))))
-        meets = F.when(stray, F.col("strays") + F.col("others")).otherwise(F.col("strays"))
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), meets - 1)).alias("other"))
-        rows = rows.select(F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "bucket", (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "comp", "size", "sig")
-        rows = rows.repartition(tasks, "b0", "b1", "bucket").sortWithinPartitions("bucket", "b0", "b1", "half", "node")
-        more = staged(rows.mapInArrow(_across(steps, few, percent), "a long, b long, cut boolean"), "pairs")
-        put_off = not more.where("cut").isEmpty()
-        fresh_pairs = staged(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh_pairs)
-        found = found.unionByName(staged(_against_pivots(fresh_pairs, texts, _verify(width, percent)), "links"))
-        if not put_off:
-            break
-    return found
+    marked = staged(shared.join(components(found), "node", "left").select("bucket", "band", "node", "size", F.coalesce("comp", "node").alias("comp")), "marked")
+    # In each open bucket all but its largest component are strays; only pairs with a stray can be new.
+    sized = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    open_ = sized.groupBy("bucket").agg(F.max(F.struct("n", "comp", "shingles")).alias("most"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    pieces = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / SHINGLES)).cast("int")
+    open_ = open_.select("bucket", F.col("most.comp").alias("largest"), pieces(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("strays"), pieces(F.col("most.n"), F.col("most.shingles")).alias("others"))
+    rows = marked.join(open_, "bucket")
+    stray, spread = F.col("comp") != F.col("largest"), F.hash("node")
+    rows = rows.withColumn("mine", F.when(stray, F.pmod(spread, F.col("strays"))).otherwise(F.col("strays") + F.pmod(spread, F.col("others"))))
+    meets = F.when(stray, F.col("strays") + F.col("others")).otherwise(F.col("strays"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), meets - 1)).alias("other"))
+    rows = rows.select(F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), "bucket", "band", (F.col("mine") > F.col("other")).cast("int").alias("half"), "node", "comp")
+    brought = lambda some: some.repartition(tasks, *KEYS).sortWithinPartitions("bucket", "b0", "b1", "half", "node")
+    columns = [*KEYS, "band", "half", "node", "comp", "size", "sig"]
+    kinds = "b0 int, b1 int, bucket long, band int, half int, node long, comp long, size long, sig binary"
+    left = staged(brought(rows.join(sigs, "node").select(columns)).mapInArrow(_active(steps, percent, ROWS), kinds), "left")
+    left = brought(texts.join(small(left, left.count(), 800), "node").select(*columns, "text"))
+    return found.unionByName(staged(left.mapInArrow(_link(width, steps, percent, ROWS), "a long, b long"), "links"))
 
 
 def grouped(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from quillsieve.llm import chat, exact_dedup, minhash, mixing, pieces, pii, quality, ragged, token_io, winnowing, wrapper
+from quillsieve.llm import chat, common, exact_dedup, minhash, mixing, pieces, pii, quality, ragged, token_io, winnowing, wrapper
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -275,8 +275,9 @@ def brute_components(texts, width, percent):
     return sets, [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("width", "block", "rows"), [(2, minhash.BLOCK, 5), (5, 3, 2)])
-def test_near_duplicates(spark, width, block, rows, monkeypatch):
+@pytest.mark.parametrize(("width", "block", "rows", "limit"), [(2, minhash.BLOCK, 5, 1 << 26), (5, 3, 2, 1 << 26), (2, 3, 2, 0)])
+def test_near_duplicates(spark, width, block, rows, limit, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)  # with 0 nothing is broadcast
     monkeypatch.setattr(minhash, "BLOCK", block)  # several blocks a bucket
     monkeypatch.setattr(minhash, "ROWS", rows)  # and buckets full of strangers
     rng = np.random.default_rng(width)
@@ -297,6 +298,25 @@ def test_near_duplicates(spark, width, block, rows, monkeypatch):
     assert [got[i].kept for i in range(len(texts))] == [i == c for i, c in enumerate(want)]
 
 
+def test_many_pages_short_of_the_threshold(spark, monkeypatch):
+    """What is written stays in proportion to the pages, however many pairs of them pass the test of signatures."""
+    rng, n = np.random.default_rng(12), 1500
+    shared = [f"s{i}" for i in range(160)]
+    texts = [" ".join(shared + [f"u{x}" for x in rng.integers(0, 1 << 40, 32)]) for _ in range(n)]  # any two share 159 of 223 shingles
+    written = Counter()
+
+    def counted(df, name):
+        made = common.staged(df, name)
+        written[name] += made.count()
+        return made
+
+    monkeypatch.setattr(minhash, "staged", counted)
+    docs = spark.createDataFrame([*enumerate(texts), (n, texts[3] + " more")], "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.annotate(docs).collect()}
+    assert got == {i: 3 if i == n else i for i in range(n + 1)}
+    assert written["links"] <= n and written["pairs"] <= 2 * n and written["left"] <= minhash.BANDS * 4 * n
+
+
 def test_near_duplicates_odd_rows(docs):
     got = minhash.annotate(docs).collect()
     assert len(got) == len(DOCS)
