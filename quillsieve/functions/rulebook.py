@@ -39,6 +39,12 @@ def java_class(spans: list[Span]) -> str:
     return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
 
 
+def coarse_class(spans: list[Span]) -> str:
+    """A class of two or three ranges that holds all of these characters: quick to test, to be asked before the exact class."""
+    low, high = [s for s in spans if s[1] < 0x300], [s for s in spans if s[1] >= 0x300]
+    return java_class(low + ([(min(a for a, _ in high), max(b for _, b in high))] if high else []))
+
+
 @dataclass(frozen=True)
 class Shape:
     id: str
@@ -51,7 +57,9 @@ class Shape:
         blank = "[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]" if java else "\\s"
         edge = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))" if java else "\\b"
         within = "[^.!?]"
-        out, at = "", 0
+        opening = re.match(r"#(\w+|\([^()]*\))", self.source)
+        # What follows the edge is asked first, as it is quicker to test at every place.
+        out, at = f"(?={opening[1].replace(' ', blank)})" if java and opening else "", 0
         for m in re.finditer(r"<(\+?)(\d*)(\.?)(w?)>|[ '_#]", self.source):
             out += self.source[at : m.start()]
             at = m.end()
@@ -70,6 +78,14 @@ class Shape:
         return out + self.source[at:]
 
 
+    def needed(self) -> list[str]:
+        """Words one of which stands in every match: the options of a group or a single one, the longest there are."""
+        plain = re.sub(r"<[^>]*>", " ", re.sub(r"\([^()]*\)\?", " ", self.source))
+        groups = [g.split("|") for g in re.findall(r"\(([^()]*)\)", plain)]
+        singles = [[w] for w in re.findall(r"[^\W\d_]+", re.sub(r"\([^()]*\)", " ", plain))]
+        return max((g for g in groups + singles if all(re.fullmatch(r"[^\W\d_]+", w) for w in g)), key=lambda g: min(map(len, g)))
+
+
 # A sentence end takes the blank after it with it.
 def _shape_source(text: str) -> str:
     return text.replace("<.> ", "<.>")
@@ -126,7 +142,7 @@ def load(home: str | None = None) -> Rulebook:
     messages = {}
     for line in _lines(at, "messages"):
         head, _, text = line.partition(": ")
-        messages[tuple(head.split(" "))] = text.replace(" ~ ", " ")
+        messages[tuple(head.split(" "))] = text
     return Rulebook(
         chars,
         {chr(int(c, 16)): t for k, c, t in typography if k == "quote"},

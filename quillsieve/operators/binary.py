@@ -22,14 +22,14 @@ _WORDS = {
     "raster-check": "embedded metadata present (exif/xmp/icc/c2pa)",
     "raster-fix": "stripped metadata segments losslessly (pixels untouched)",
     "raster-odd": "could not parse image (file left untouched)",
-    "unsupported": "lossless metadata stripping " + "not supported for this format (file left untouched)",
+    "unsupported": "lossless metadata stripping not supported for this format (file left untouched)",
     "turned": "kept exif orientation (tag 0x0112), nothing else",
     "svg-check": "embedded svg metadata/xmp/comments present",
     "svg-fix": "stripped svg metadata, xmp and comments",
     "office-check": "embedded author/application metadata present",
     "office-fix": "stripped author/application metadata (lossless, container-level)",
     "office-odd": "could not parse (file left untouched)",
-    "pdf": "pdf metadata present (author/creator/producer/xmp), " + "not stripped: lossless pdf rewriting " + "is not supported, use exiftool or qpdf",
+    "pdf": "pdf metadata present (author/creator/producer/xmp), not stripped: lossless pdf rewriting is not supported, use exiftool or qpdf",
     "not-text": "skipped (not utf-8 text)",
 }
 

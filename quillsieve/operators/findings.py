@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEVERITY = {"error": 3, "warn": 2, "info": 1, "fixed": 0}
@@ -17,12 +20,19 @@ def exploded(reports: DataFrame, *keys: str, report: str = "report") -> DataFram
 def merged(findings: DataFrame, *keys: str) -> DataFrame:
     """Findings of equal layer, kind, severity and message as one: counts added, the first examples, counts by rule added."""
     same = [*keys, "layer", "kind", "severity", "message"]
-    whole = findings.groupBy(*same).agg(F.sum("count").alias("count"), F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "examples"))).alias("some"))
-    first = F.slice(F.array_distinct(F.flatten(F.transform("some", lambda s: s["examples"]))), 1, EXAMPLES)
+    whole = findings.groupBy(*same).agg(F.sum("count").alias("count"), F.min("ord").alias("ord"))
+    # Each example once, by its first place; of these the first few, so no more than they are ever gathered.
+    each = findings.select(*same, "ord", F.posexplode("examples").alias("at", "example")).groupBy(*same, "example").agg(F.min(F.struct("ord", "at")).alias("first"))
+    some = each.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("first", "example"))).where(F.col("rank") <= EXAMPLES)
+    some = some.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("some")).select(*same, F.transform("some", lambda s: s["example"]).alias("examples"))
     rules = findings.select(*same, F.explode("by_rule").alias("rule", "n")).groupBy(*same, "rule").agg(F.sum("n").alias("n"))
     rules = rules.groupBy(*same).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "n")))).alias("by_rule"))
     none = F.create_map().cast("map<string,bigint>")
-    return whole.withColumn("examples", first).drop("some").join(rules, same, "left").withColumn("by_rule", F.coalesce("by_rule", none))
+    # Findings without a key, or of a null one, are held together by a comparison that takes nulls as equal.
+    for part in (some, rules):
+        named = part.select(*[F.col(c).alias(f"of_{c}") if c in same else F.col(c) for c in part.columns])
+        whole = whole.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in same)), "left").drop(*(f"of_{c}" for c in same))
+    return whole.withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).withColumn("by_rule", F.coalesce("by_rule", none))
 
 
 def by_severity(findings: DataFrame, *keys: str) -> DataFrame:

@@ -8,12 +8,14 @@ between matches and the matches themselves, put together again by position.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layers import ARTIFACTS, UPLOAD, protected_pattern
-from ..functions.rulebook import Rulebook, bounded, java_class, java_word, load, phrase_body
+from ..functions.rulebook import Rulebook, Span, bounded, coarse_class, java_class, java_word, load, phrase_body
 
 LETTERS = "[\\p{L}\\p{Nl}\\p{No}]+"
 ENTITY = "&(?:#[xX][0-9A-Fa-f]+|#[0-9]+|\\p{Alpha}\\p{Alnum}*);"
@@ -95,11 +97,21 @@ def removal_pattern(rules: Rulebook | None = None, rtl: bool = False) -> str:
     ]
     if not rtl:
         parts.insert(3, f"[{java_class(rules.spans('bidi'))}]")
-    return "|".join(parts)
+    return f"{ahead(rules.special)}(?:{'|'.join(parts)})"
+
+
+def ahead(spans: list[Span]) -> str:
+    """A look-ahead to one of these characters, a coarse one first: most places fail there."""
+    return f"(?=[{coarse_class(spans)}])(?=[{java_class(spans)}])"
+
+
+def one_of(text: Column, spans: list[Span]) -> Column:
+    """Whether a text holds one of these characters."""
+    return text.rlike(f"(?=[{coarse_class(spans)}])[{java_class(spans)}]")
 
 
 def has_special(text: Column, rules: Rulebook | None = None) -> Column:
-    return text.rlike(f"[{java_class((rules or load()).special)}]")
+    return one_of(text, (rules or load()).special)
 
 
 def without_invisible(text: Column, rules: Rulebook | None = None) -> Column:
@@ -118,8 +130,8 @@ def plain_spaces(text: Column, rules: Rulebook | None = None) -> Column:
     before, after, braille = (java_class(rules.spans(k)) for k in ("guard-before", "guard-after", "braille"))
     short = f"(?<=[0-9]\\.)(?=.[{latin}])|(?:(?<=\\A[{latin}]\\.)|(?<=[^{latin}][{latin}]\\.))(?=.[{latin}]\\.)"
     guard = f"(?<=[0-9{after}])|(?=.[0-9{before}])|{short}"
-    pattern = f"(?s)(?!\\x{{2800}})[{spaces}&&[^{guarded}]]|(?!{guard})[{guarded}]|(?<![{braille}])\\x{{2800}}(?![{braille}])"
-    return F.when(text.rlike(f"[{spaces}]"), F.regexp_replace(text, pattern, " ")).otherwise(text)
+    pattern = f"(?s){ahead(rules.spans('space'))}(?:(?!\\x{{2800}})[{spaces}&&[^{guarded}]]|(?!{guard})[{guarded}]|(?<![{braille}])\\x{{2800}}(?![{braille}]))"
+    return F.when(one_of(text, rules.spans("space")), F.regexp_replace(text, pattern, " ")).otherwise(text)
 
 
 def code_points(text: Column) -> Column:
@@ -174,10 +186,12 @@ def suspicious_words(text: Column, rules: Rulebook | None = None) -> Column:
     table = "".join((rules or load()).lookalikes)
     foreign = f"[\\x{{370}}-\\x{{52F}}&&[^{table}]]"
     latin = "[A-Za-z\\xC0-\\xD6\\xD8-\\xF6\\xF8-\\x{24F}\\x{1E00}-\\x{1EFF}]"
-    mixed = F.filter(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), lambda w: w.rlike(f"[{table}]") & ~w.rlike(foreign))
+    # Words that hold one of them: at the start of a word, past its other letters.
+    word = f"(?<!{LETTERS[:-1]})[{LETTERS[1:-2]}&&[^{table}]]*+[{table}]{LETTERS[:-1]}*+"
+    mixed = F.filter(F.regexp_extract_all(text, F.lit(word), F.lit(0)), lambda w: ~w.rlike(foreign))
     # Whether the whole text holds foreign letters is asked once, not for each word.
     found = F.when(text.rlike(foreign), F.filter(mixed, lambda w: w.rlike(latin))).otherwise(mixed)
-    return F.when(text.rlike(f"[{table}]"), found).otherwise(F.array().cast("array<string>"))
+    return F.when(one_of(text, [(ord(c), ord(c)) for c in table]), found).otherwise(F.array().cast("array<string>"))
 
 
 def ascii_lookalikes(df: DataFrame, text_col: str, rules: Rulebook | None = None) -> DataFrame:
@@ -220,10 +234,21 @@ def lexicon_patterns(rules: Rulebook | None = None) -> list[str]:
     return [java_word(w) for w in (rules or load()).lexicon]
 
 
+def lowered(text: Column) -> Column:
+    """Lower case, with the characters that ignoring case pairs with ASCII letters as these."""
+    return F.lower(F.when(text.rlike("[ıİſK]"), F.translate(text, "ıİſK", "iisk")).otherwise(text))
+
+
 def shapes_present(text: Column, rules: Rulebook | None = None) -> Column:
-    """Ids of the sentence shapes of a text, in the order of the rules."""
-    ids = [F.when(text.rlike("(?iu)" + s.pattern(True)), F.lit(s.id)) for s in (rules or load()).shapes]
-    return F.array_compact(F.array(*ids))
+    """Ids of the sentence shapes of a text, in the order of the rules; a shape is looked for where a word it needs stands."""
+    shapes = (rules or load()).shapes
+
+    def found(low: Column) -> Column:
+        may = lambda s: reduce(or_, (F.contains(low, F.lit(w)) for w in s.needed()))
+        return F.array(*[F.when(may(s) & text.rlike("(?iu)" + s.pattern(True)), F.lit(s.id)) for s in shapes])
+
+    # In an array of one, so that the lower case is made once and not for each shape.
+    return F.array_compact(F.flatten(F.transform(F.array(lowered(text)), found)))
 
 
 # --- links --------------------------------------------------------------------------------------

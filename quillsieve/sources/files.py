@@ -116,11 +116,20 @@ def contents(listed: DataFrame) -> DataFrame:
 
 
 def first_of_each(files: DataFrame, real: str = "realpath", order: str = "ord") -> DataFrame:
-    """The first row of each real path, in the order given."""
+    """The first row of each real path, in the order given; the null path is a path.
+
+    Only digests and the order are shuffled, and those with map-side combining, so that a path
+    of many rows is no task's burden; the rows that stay are found by joining back on both.
+    """
     from pyspark.sql import Window
 
-    (place,) = ("place__",)
-    return files.withColumn(place, F.row_number().over(Window.partitionBy(real).orderBy(order))).where(F.col(place) == 1).drop(place)
+    names = iter(("first_key__", "first_of__", "first_place__"))
+    key, of, place = (next(n for n in (name + "_" * k for k in range(9)) if n not in files.columns) for name in names)
+    rows = files.withColumn(key, F.sha2(F.coalesce(F.concat(F.lit("="), F.col(real).cast("string")), F.lit("")), 256))
+    least = rows.groupBy(key).agg(F.min(F.struct(F.col(order).isNull(), F.col(order))).alias(of))
+    kept = rows.join(least, key).where(F.struct(F.col(order).isNull(), F.col(order)).eqNullSafe(F.col(of)))
+    # Rows of one path and one place: any one of them.
+    return kept.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.col(order)))).where(F.col(place) == 1).select(files.columns)
 
 
 def text_of(content):
