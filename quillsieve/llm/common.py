@@ -6,6 +6,8 @@ import atexit
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     now = context._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="quillsieve-")
     context.setCheckpointDir(folder)
@@ -59,20 +61,56 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of our own in the shared folder, with its file system named, removed at the end."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillsieve-{name}-{uuid.uuid4().hex}")
+def new_folder(spark: SparkSession, name: str, at_exit: bool = True) -> str:
+    """A path of our own in the shared folder, below the name of the application, with its file system named; removed at the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillsieve-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
     path = path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).makeQualified(path).toString()
-    atexit.register(remove, spark, path)
+    if at_exit:
+        atexit.register(remove, spark, path)
     return path
 
 
+_scopes: list[dict[str, SparkSession]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors, gives sizes to the planner."""
+    """df written to the shared folder and read again: cuts the lineage, survives lost executors, gives sizes to the planner.
+
+    The table goes when the innermost scratch() block ends, or at the end of the application.
+    """
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = new_folder(spark, name, at_exit=not _scopes)
+    if _scopes:
+        _scopes[-1][path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables staged within the block at its end, but for those passed to the function it gives.
+
+    Only what is kept, or has been written elsewhere, may be read afterwards.
+    """
+    mine: dict[str, SparkSession] = {}
+    _scopes.append(mine)
+
+    def keep(made: DataFrame) -> DataFrame:
+        spark = mine.pop(made.staged_at)
+        if len(_scopes) > 1:
+            _scopes[-2][made.staged_at] = spark
+        else:
+            atexit.register(remove, spark, made.staged_at)
+        return made
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path, spark in mine.items():
+            remove(spark, path)
 
 
 def small(df: DataFrame, rows: int, width: int | None = None) -> DataFrame:

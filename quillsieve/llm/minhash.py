@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import ragged
-from .common import fresh, small, staged
+from .common import fresh, scratch, small, staged
 from .exact_dedup import heavy_hitters
 
 BANDS, ROWS = 32, 5
@@ -278,23 +278,24 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node points to its least neighbour, pointers are followed once, and edges
     are redrawn between what is pointed to, so long chains shrink by half or more.
     """
-    edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    whole = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        far = to.select(F.col("a").alias("to"), F.col("to").alias("far"))
-        to = staged(to.join(far, "to", "left").select("a", F.coalesce("far", "to").alias("to")), "pointers")
-        if whole is None:
-            whole = to
-        else:
-            whole = whole.join(to.select(F.col("a").alias("to"), F.col("to").alias("far")), "to", "left").select("a", F.coalesce("far", "to").alias("to"))
-            whole = staged(whole, "pointers")
-        left, right = to.select("a", F.col("to").alias("x")), to.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        edges = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = staged(edges, "edges")
-        if edges.isEmpty():
-            return whole.select(F.col("a").alias("node"), F.col("to").alias("comp"))
+    with scratch() as keep:
+        edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
+        whole = None
+        while True:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            to = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
+            far = to.select(F.col("a").alias("to"), F.col("to").alias("far"))
+            to = staged(to.join(far, "to", "left").select("a", F.coalesce("far", "to").alias("to")), "pointers")
+            if whole is None:
+                whole = to
+            else:
+                whole = whole.join(to.select(F.col("a").alias("to"), F.col("to").alias("far")), "to", "left").select("a", F.coalesce("far", "to").alias("to"))
+                whole = staged(whole, "pointers")
+            left, right = to.select("a", F.col("to").alias("x")), to.select(F.col("a").alias("b"), F.col("to").alias("y"))
+            edges = edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            edges = staged(edges, "edges")
+            if edges.isEmpty():
+                return keep(whole).select(F.col("a").alias("node"), F.col("to").alias("comp"))
 
 
 def links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
@@ -340,7 +341,15 @@ def grouped(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "d
     names = numbered.columns
     schema = ", ".join(f"`{c}` {numbered.schema[c].dataType.simpleString()}" for c in names)
     signed = numbered.select(F.col(text_col).cast("string").alias("near_text__"), *[F.col(f"`{c}`") for c in names]).mapInArrow(_sign(width, [n, key, sig]), f"{schema}, `{n}` long, `{key}` binary, `{sig}` binary")
-    base = staged(signed, "signed")
+    with scratch() as keep:
+        base = keep(staged(signed, "signed"))
+        settled = keep(_settled(base, width, percent, miss, (id_col, text_col, row, n, key, sig, of)))
+    return _labelled(docs, base, settled, (id_col, row, n, key, of))
+
+
+def _settled(base: DataFrame, width: int, percent: int, miss: float, names: tuple[str, ...]) -> DataFrame:
+    """The first row of the component of each set."""
+    id_col, text_col, row, n, key, sig, of = names
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))).alias("best")
     full = base.where(F.col(key).isNotNull())
     classes = full.groupBy(key).agg(best, F.first(n).alias("size"), F.first(sig).alias("sig"))
@@ -350,8 +359,13 @@ def grouped(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "d
     comp = components(found)
     labelled = classes.join(comp, "node", "left").select("key", "best", F.coalesce("comp", "node").alias("comp"))
     least = labelled.groupBy("comp").agg(F.min("best").alias("best"))
-    settled = staged(labelled.select("key", "comp").join(least, "comp").select(F.col("key").alias(key), F.col("best").alias(of)), "settled")
-    hot = heavy_hitters(full, key)
+    return staged(labelled.select("key", "comp").join(least, "comp").select(F.col("key").alias(key), F.col("best").alias(of)), "settled")
+
+
+def _labelled(docs: DataFrame, base: DataFrame, settled: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Every row with what its set is; sets of very many rows are settled where the rows are read."""
+    id_col, row, n, key, of = names
+    hot = heavy_hitters(base.where(F.col(key).isNotNull()), key)
     spark = docs.sparkSession
     kinds = spark.createDataFrame([(bytearray(h),) for h in hot], f"`{key}` binary")
     few = spark.createDataFrame(settled.join(F.broadcast(kinds), key, "left_semi").collect(), settled.schema)  # at most as many as counters

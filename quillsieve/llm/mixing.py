@@ -11,8 +11,9 @@ cut is found in two aggregations, first by 4096 key ranges, then by key within t
 where the cut falls, so no group of documents is ever gathered, and applying it is a map.
 
 Defined results: a null text has no words; the null source is a source, sorted last; documents of
-one key (repeated ids) at the cut share what is left evenly, rounded down; a source without words
-has target 0; an empty table gives an empty table; other columns pass through.
+one key (repeated ids) at the cut share what is left evenly, rounded down; the mixture itself
+(`repeated`) holds whole documents, so a source is off its target by half a document of each id at
+its cut at most; a source without words has target 0; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, small, staged
+from .common import WORD, fresh, scratch, small, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -78,8 +79,9 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
     """docs with columns size, source_size, target, whole, part (words of the fractional repetition) and taken, and the names these have."""
     new = dict(zip(("size", "key", "of", "source_size", "target", "whole", "part", "taken"), fresh(docs, "size", "key", "mix_of", "source_size", "target", "whole", "part", "taken"), strict=True))
     rows = docs.withColumn(new["size"], F.col(size_col) if size_col else words(F.col(text_col))).withColumn(new["key"], order_key(F.col(id_col), seed))
-    narrow = staged(rows.select(F.col(source_col).alias("source"), F.col(new["key"]).alias("key"), F.col(new["size"]).alias("size")), "mix-sizes")
-    made = staged(plan(narrow, **how), "mix-plan")
+    with scratch() as keep:
+        narrow = staged(rows.select(F.col(source_col).alias("source"), F.col(new["key"]).alias("key"), F.col(new["size"]).alias("size")), "mix-sizes")
+        made = keep(staged(plan(narrow, **how), "mix-plan"))
     n = made.count()
     of = made.select(F.struct("source", "source_size", "target", "whole", "cut", "cut_share", "part").alias(new["of"]))
     full = F.col(f"{new['of']}.part") > 0
@@ -91,13 +93,10 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: each document as often as it is taken, the document at a source's cut also as its leading words."""
-    text_col = how.get("text_col", "text")
+    """The mixture itself: each document as often as it is taken, always whole; the one at a source's cut stays if at least half of it is taken."""
     mixed, new = mix(docs, **how)
     size, whole, part = (F.col(new[c]) for c in ("size", "whole", "part"))
     (copy,) = fresh(mixed, "copy")
-    # -1 stands for the whole text. A document without words comes along with the whole repetitions.
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part == 0, F.array().cast("array<long>")).when(part == size, F.array(F.lit(-1).cast("long"))).otherwise(F.array(part)))
-    out = mixed.withColumn(copy, F.explode(copies))
-    lead = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit("(?s)[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col(copy), F.lit(0)).cast("int")), "")
-    return out.withColumn(text_col, F.when(F.col(copy) < 0, F.col(text_col)).otherwise(lead)).select(docs.columns)
+    # A document without words comes along with the whole repetitions.
+    times = whole + ((part > 0) & (2 * part >= size)).cast("long")
+    return mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)

@@ -36,7 +36,7 @@ from pyspark.sql.types import IntegralType
 
 from ..shipping import ship
 from . import ragged
-from .common import id_ranges, new_folder, staged
+from .common import id_ranges, new_folder, scratch, staged
 
 MAGIC = b"QSVB"
 HEAD = "<4s4Q"
@@ -280,6 +280,11 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), (end_id or 0) + 1)
     code = "<u2" if vocabulary <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with scratch():
+        return _written(spark, rows, path, folder, end_id, code, plain_specials, vocabulary)
+
+
+def _written(spark, rows: DataFrame, path: str, folder: str, end_id: int | None, code: str, plain_specials: bool, vocabulary: int) -> str:
     encoded = staged(rows.mapInArrow(_encode(path, end_id, code, plain_specials), "doc_id long, n_ids long, ids binary"), "ids")
     counted = encoded.select("ids").mapInArrow(_count(code, vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     count = np.zeros(vocabulary, np.int64)

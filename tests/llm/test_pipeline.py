@@ -66,15 +66,16 @@ def test_near_stage(kept):
 
 def test_mixing_stage(kept):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    have, got = Counter(), Counter()
+    have, got, longest = Counter(), Counter(), Counter()
     for r in kept[3].collect():
         have[r.source] += size(r.text)
     whole = texts(kept[3])
     for r in kept[4].collect():
         got[r.source] += size(r.text)
-        assert (r.doc_id, r.text) in whole or any(i == r.doc_id and (t or "").startswith(r.text) for i, t in whole)
+        assert (r.doc_id, r.text) in whole
+        longest[r.source] = max(longest[r.source], size(r.text))
     want = filled(dict(have), mixing.WEIGHTS, mixing.MAX_EPOCHS)
-    assert all(abs(got[s] - want[s]) <= 2 for s in have)
+    assert all(abs(got[s] - want[s]) <= 2 + longest[s] / 2 for s in have)
 
 
 def test_pieces_stage(kept):
@@ -88,3 +89,15 @@ def test_pieces_stage(kept):
 
 def test_run(spark, kept):
     assert corpus_pipeline.run(spark, DATA).columns == kept[5].columns
+
+
+def test_empty_table_and_clashing_columns(spark, kept):
+    """All stages, one after the other, on no rows and on rows with columns named as the operators name theirs."""
+    names = ["size", "digest", "place", "score", "ids", "n_pieces", "near_row", "copy", "key", "text_sha256", "round_trip"]
+    for docs in (kept[0].limit(0), kept[0].limit(60).select("*", *[F.lit("x").alias(c) for c in names])):
+        columns, rows = docs.columns, docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, DATA)
+            assert docs.columns == columns
+        done = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+        assert done.columns == kept[5].columns and bool(done.count()) == bool(rows)

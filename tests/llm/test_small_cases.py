@@ -105,11 +105,29 @@ def test_mixing(docs):
     assert rows(out.select("doc_id", new["taken"])) == rows(mixing.mix(docs)[0].select("doc_id", new["taken"]))
     mixed = mixing.repeated(docs)
     assert mixed.columns == docs.columns
-    count = mixed.select("source", mixing.words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
-    assert {r.source: r.n for r in count if r.n} == {s: n for s, n in taken.items() if n}
+    texts_of = {(i, t, s) for i, t, s in DOCS}
+    assert all((r.doc_id, r.text, r.source) in texts_of for r in mixed.collect())  # whole, as they are
+    count = {r.source: r.n for r in mixed.select("source", mixing.words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    cut = {r.source: r[new["size"]] - r[new["part"]] if 2 * r[new["part"]] >= r[new["size"]] else -r[new["part"]] for r in got if 0 < r[new["part"]] < r[new["size"]]}
+    assert {s: count.get(s, 0) for s in taken} == {s: n + cut.get(s, 0) for s, n in taken.items()}
     assert mixing.mix(docs.limit(0))[0].count() == 0 and mixing.repeated(docs.limit(0)).count() == 0
 
 
+def test_staged_tables_go(spark):
+    import os
+
+    folder = common.shared_dir(spark).removeprefix("file:").replace("//", "/")
+    tables = lambda: {f"{a}/{n}" for a, names, _ in os.walk(folder) for n in names if "-" in n and a.startswith(f"{folder}/quillsieve-")}
+    before = tables()
+    docs = spark.createDataFrame([(i, f"a b c d e f {i % 7} g h i j") for i in range(50)], "doc_id long, text string")
+    done = minhash.annotate(docs)
+    assert sorted(os.path.basename(t).split("-")[0] for t in tables() - before) == ["settled", "signed"] and done.count() == 50
+    with common.scratch() as keep:
+        one, two = common.staged(docs, "one"), keep(common.staged(docs, "two"))
+        assert one.count() == 50
+    assert two.count() == 50 and not any("/one-" in t for t in tables())
+
+
 def test_water_filling(spark):
     for sizes in ({"a": 1, "b": 100, "c": 1000, None: 10}, {"a": 0, "b": 0}, {"a": 5}, {"x": 10, "y": 10, "z": 10, "": 1}):
         table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
