@@ -1,6 +1,12 @@
 """A training-data pipeline over `documents`: quality, exact and near duplicates, mixture, pieces.
 
 Each stage takes what its predecessor kept; all but the last return the columns of their input.
+
+Defined results: a null text counts as empty in every stage and passes as null; a null id is a row
+like others (last of its group in exact dedup, last in near dedup); of rows equal in text one stays
+after exact dedup, so repeated rows come back only through the mixture, which repeats whole
+documents; the null source is a source; columns beyond those named pass through all but the last
+stage, whatever their names; an empty table gives an empty table with the columns of the result.
 """
 
 from __future__ import annotations
@@ -8,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillsieve.llm import exact_dedup, minhash, mixing, pieces, quality
-from quillsieve.llm.common import staged, table
+from quillsieve.llm.common import scratch, staged, table
 from quillsieve.llm.queries import tokenizer_file
 
 
@@ -53,8 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch() as keep:
+            docs = keep(staged(stage(spark, docs, sf_dir), f"stage-{k}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
