@@ -19,6 +19,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--config")
         for flag in "aggressive json no-backup no-voice quiet strict".split():
             p.add_argument(f"--{flag}", action="store_true")
+    p = commands.add_parser("staged", help="clean what is staged for a git commit, and stage it again")
+    p.add_argument("--config")
+    p = commands.add_parser("gate", help="fix, but for the voice layer, then check")
+    p.add_argument("paths", nargs="*")
+    p.add_argument("--config")
     p = commands.add_parser("rewrite", help="translate to another language and back (sends texts to a service)")
     p.add_argument("paths", nargs="+")
     p.add_argument("--source-lang")
@@ -71,6 +76,34 @@ def _scan(args: argparse.Namespace) -> int:
     return runs.exit_code(reports, args.strict, write)
 
 
+def _staged(args: argparse.Namespace) -> int:
+    from .sources import runs, staged
+
+    how = options.load(args.config) | {"voice": False, "backup": False}
+    whole, partial = staged.files(how)
+    if whole:
+        changed = [r["path"] for r in runs.reports(_session(), whole, how, True) if r["changed"]]
+        staged.add(changed)
+        print(f"cleaned and staged {len(changed)} of {len(whole)} staged files")
+    if partial:
+        print(f"left {len(partial)} files alone that are staged in part")
+    return 0
+
+
+def _gate(args: argparse.Namespace) -> int:
+    from .sources import runs
+
+    paths = args.paths or ["."]
+    how, spark = options.load(args.config, paths[0]), _session()
+    for _ in runs.reports(spark, paths, how | {"voice": False}, True):
+        pass
+    blocked = [r for r in runs.reports(spark, paths, how, False) if any(f["severity"] == "error" for f in r["findings"])]
+    for r in blocked:
+        print(runs.rendered(r, False))
+    print(f"{len(blocked)} files block" if blocked else "nothing blocks")
+    return int(bool(blocked))
+
+
 def _rewrite(args: argparse.Namespace, client=None) -> int:
     from .functions import layers, translate
     from .sources import sink
@@ -92,7 +125,7 @@ def _rewrite(args: argparse.Namespace, client=None) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return _rewrite(args) if args.command == "rewrite" else _scan(args)
+        return {"rewrite": _rewrite, "staged": _staged, "gate": _gate}.get(args.command, _scan)(args)
     except (options.SettingsError, FileNotFoundError) as error:
         print(error, file=sys.stderr)
         return 2

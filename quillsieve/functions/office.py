@@ -130,7 +130,8 @@ def _written(parts: list[tuple]) -> bytes:
         body += local + packed
         year, month, day, hour, minute, second = info.date_time
         date, time = max(year - 1980, 0) << 9 | month << 5 | day, hour << 11 | minute << 5 | second // 2
-        name, extra, comment = info.filename.encode("utf-8"), info.extra or b"", info.comment or b""
+        # The name's bytes as they were: marked as UTF-8, or of the old code page, in which every byte is a character.
+        name, extra, comment = info.orig_filename.encode("utf-8" if flags & 0x800 else "cp437"), info.extra or b"", info.comment or b""
         index += b"PK\1\2" + struct.pack("<BBHHH", info.create_version, info.create_system, info.extract_version, flags, method)
         index += struct.pack("<HHIII", time, date, crc, size, full) + struct.pack("<HHH", len(name), len(extra), len(comment))
         index += struct.pack("<HHII", 0, info.internal_attr, info.external_attr, at) + name + extra + comment

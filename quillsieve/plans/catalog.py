@@ -13,7 +13,7 @@ import zipfile
 import zlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layers import UPLOAD
@@ -413,9 +413,12 @@ def warn_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the whole cleaner and its reports ----------------------------------------------------------
 
 
-@query("full_clean", f"SELECT doc_id, {ARTIFACT_SQL} AS cleaned, doc_id % {MODULUS} IN (0, 1, 2, 3, 4) AS changed FROM {source('artifacts')} WHERE NOT regexp_matches(text, '[.]{{4,}}')")
+@query(
+    "full_clean",
+    f"""SELECT doc_id, cleaned, cleaned <> text AS changed
+        FROM (SELECT doc_id, text, regexp_replace({ARTIFACT_SQL}, '[.]{{4,}}', '...', 'g') AS cleaned FROM {source("artifacts")})""",
+)
 def full_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # All documents; the SQL leaves out nulls and runs of four dots, of which the test tables hold none.
     return clean(seeded(spark, sf_dir, "artifacts")).select("doc_id", "cleaned", F.col("report.changed").alias("changed"))
 
 
@@ -483,15 +486,32 @@ def length_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("report.original_length").alias("before"), F.col("report.cleaned_length").alias("after"))
 
 
+#: The lines of each case, the gravest findings first.
+LINES = {
+    0: ("1 error, 1 warn, 1 fixed", [("banned-phrase", "error", 1, "delve into"), ("lexicon", "warn", 1, "delve"), ("filler-phrase", "fixed", 1, "")]),
+    1: ("1 warn, 1 fixed", [("lexicon", "warn", 1, "robust"), ("filler-phrase", "fixed", 1, "")]),
+    2: ("2 error", [("sentence-shape", "error", 2, "this-isnt-this-is, its-not-just-its-also")]),
+    3: ("2 warn", [("sentence-shape", "warn", 2, "not-only-but-also, less-x-more-y")]),
+    4: ("2 error, 2 warn", [("banned-phrase", "error", 2, "at the end of the day, a plethora of"), ("lexicon", "warn", 2, "pivotal, vital")]),
+    5: ("1 error, 2 warn", [("sentence-shape", "error", 1, "es-geht-nicht-um-es-geht-um"), ("lexicon", "warn", 2, "nahtlos, meistern")]),
+}
+TAGS = {"error": "block", "warn": "warn", "fixed": "fixed"}
+
+
+def sql_lines(k: int) -> str:
+    head, found = LINES[k]
+    lines = [f"  [{TAGS[severity]}] {RULES.messages['voice', kind, severity]} x{n}" + (f"  ({examples})" if examples else "") for kind, severity, n, examples in found]
+    return f"WHEN {k} THEN 'doc ' || CAST(doc_id AS VARCHAR) || {quoted(f'  ({head})')} || " + " || ".join(f"chr(10) || {quoted(line)}" for line in lines)
+
+
 @query(
     "report_lines",
-    f"""SELECT doc_id, 'doc ' || CAST(doc_id AS VARCHAR) || CASE WHEN k = 0 THEN '  (1 error, 1 warn, 1 fixed)' || chr(10) || '  [block] {RULES.messages["voice", "banned-phrase", "error"]} x1  (delve into)'
-        || chr(10) || '  [warn] faux-elegance lexicon found (use sparingly) x1  (delve)' || chr(10) || '  [fixed] removed filler phrases x1' ELSE '' END AS lines
-        FROM {COUNTS_SQL} WHERE k = 0 UNION ALL SELECT doc_id, 'clean  doc ' || CAST(doc_id AS VARCHAR) FROM {COUNTS_SQL} WHERE k >= 6""",
+    f"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE CASE doc_id % {MODULUS} {" ".join(map(sql_lines, LINES))} ELSE 'clean  doc ' || CAST(doc_id AS VARCHAR) END END AS lines
+        FROM {source("voice")}""",
 )
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = voiced(spark, sf_dir).where(f"doc_id % {MODULUS} IN (0, 6, 7)")  # the cases whose lines the SQL spells out
-    return rows.select("doc_id", findings.lines(F.col("report"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("lines"))
+    name = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
+    return voiced(spark, sf_dir).select("doc_id", findings.lines(F.col("report"), name).alias("lines"))
 
 
 # --- tables and files ---------------------------------------------------------------------------
@@ -560,7 +580,7 @@ def office_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("neighbours_window", f"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS char, generate_subscripts(string_split(text, ''), 1) AS idx FROM {source("spaces")})
     SELECT doc_id, CAST(idx - 1 AS INTEGER) AS idx, before, after FROM (SELECT *, lag(char) OVER w AS before, lead(char) OVER w AS after FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) WHERE char = '{NBSP}'""")
 def neighbours_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seeded(spark, sf_dir, "spaces").select("doc_id", F.posexplode(native.code_points(F.col("text"))).alias("idx", "char"))
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    rows = rows.withColumn("before", F.lag("char").over(w)).withColumn("after", F.lead("char").over(w))
-    return rows.where(F.col("char") == NBSP).select("doc_id", "idx", "before", "after")
+    # By index within the row: no row for each character, and no window.
+    rows = seeded(spark, sf_dir, "spaces").where(F.contains("text", F.lit(NBSP))).select("doc_id", native.code_points(F.col("text")).alias("chars"))
+    near = F.transform("chars", lambda c, i: F.when(c == NBSP, F.struct(i.alias("idx"), F.get("chars", i - 1).alias("before"), F.get("chars", i + 1).alias("after"))))
+    return rows.select("doc_id", F.explode(F.array_compact(near)).alias("x")).select("doc_id", "x.*")

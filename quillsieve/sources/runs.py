@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import layers
 from ..operators import binary
-from ..operators.clean import clean, report
+from ..operators.clean import COUNTS, clean, report
 from . import files, sink
 
 TAGS = {"error": "block", "fixed": "fixed", "info": "info", "warn": "warn"}
@@ -24,53 +29,95 @@ def _plain(row) -> dict:
     return row.asDict(recursive=True)
 
 
-def scan(spark: SparkSession, paths: list[str], settings: dict, write: bool) -> list[dict]:
-    """A report for each path, in the order missing, unreadable, text, image, document.
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share; a session on one machine makes its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="quillsieve-")
+    return f"{shared.rstrip('/')}/quillsieve-run-{uuid.uuid4().hex}"
 
-    The executors read, clean and (on a shared file system) write; reports come back to the
-    driver, which prints them. Tables too large for that are cleaned with operators.clean.
-    """
-    rows = files.listing(spark, paths, settings).collect()
-    limit = files.most_bytes(settings)
-    out: dict[int, dict] = {}
-    todo: dict[str, list] = {"text": [], "binary": []}
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
+
+
+def _known(rows: list, limit: int) -> Iterator[tuple[int, dict]]:
     for r in rows:
         if r.kind not in files.KINDS:
-            out[r.ord] = skipped(r.path, "path not found" if r.kind == "missing" else "skipped (permission denied)")
+            yield r.ord, skipped(r.path, "path not found" if r.kind == "missing" else "skipped (permission denied)")
         elif r.length is not None and r.length > limit:
-            out[r.ord] = skipped(r.path, "skipped (larger than max_file_bytes)")
-        else:
-            todo["text" if r.kind == "text" else "binary"].append(r)
-    for kind, some in todo.items():
-        if not some:
-            continue
-        held = files.contents(spark.createDataFrame([(r.path, r.ord, r.suffix) for r in some], "path string, ord long, suffix string")).persist()
-        for r in held.where(F.col("failed").isNotNull()).select("ord", "path", "failed").collect():
-            out[r.ord] = skipped(r.path, r.failed)
-        read = held.where(F.col("failed").isNull())
-        if kind == "text":
-            texts = read.select("ord", "path", files.text_of(F.col("content")).alias("text"))
-            done = clean(texts, settings=settings).select("ord", "path", "report", F.when(F.col("report.changed"), F.encode("cleaned", "UTF-8")).alias("cleaned")).cache()
-            for r in done.select("ord", "path", "report").collect():
-                out[r.ord] = (_plain(r.report) if r.report else skipped(r.path, "skipped (not utf-8 text)")) | {"path": r.path}
+            yield r.ord, skipped(r.path, "skipped (larger than max_file_bytes)")
+
+
+def _done(spark: SparkSession, some: list, text: bool, settings: dict, write: bool) -> DataFrame:
+    """ord, path, failed, changed, cleaned (bytes), lengths, counts and findings of files that are read."""
+    held = files.contents(spark.createDataFrame([(r.path, r.ord, r.suffix) for r in some], "path string, ord long, suffix string"))
+    if text:
+        done = clean(held.select("ord", "path", "failed", files.text_of(F.col("content")).alias("text")), settings=settings)
+        return done.select("ord", "path", "failed", F.lit(True).alias("text"), "report", F.when(F.col("report.changed"), F.encode("cleaned", "UTF-8")).alias("cleaned"))
+    done = binary.stripped(held, "ord", "path", "failed", strip_icc=settings["strip_icc"], write=write)
+    nothing = F.lit(0).cast("long")
+    made = F.struct(F.col("cleaned").isNotNull().alias("changed"), nothing.alias("original_length"), nothing.alias("cleaned_length"), F.lit(None).cast(COUNTS).alias("counts"), "findings")
+    return done.select("ord", "path", "failed", F.lit(False).alias("text"), made.alias("report"), "cleaned")
+
+
+def reports(spark: SparkSession, paths: list[str], settings: dict, write: bool) -> Iterator[dict]:
+    """A report for each path, in the order missing, unreadable, text, image, document, one after the other.
+
+    The executors read and clean; what is to be written is staged in the shared folder, and then
+    (on a shared file system) written, so that a step that is repeated finds the file as it was
+    when it was read. The driver holds the list of files and one partition of reports at a time.
+    """
+    rows = files.listing(spark, paths, settings).collect()
+    known = dict(_known(rows, files.most_bytes(settings)))
+    folder, parts = _folder(spark), []
+    try:
+        for text in (True, False):
+            some = [r for r in rows if r.ord not in known and (r.kind == "text") == text]
+            if some:
+                parts.append(f"{folder}/{'text' if text else 'binary'}")
+                _done(spark, some, text, settings, write).write.parquet(parts[-1])
+        if parts:
+            done = reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in parts])
+            refused = {}
+            if write:
+                sink.write_in_place(done.where(F.col("cleaned").isNotNull()), settings["backup"]).where(F.col("failed").isNotNull()).write.parquet(f"{folder}/refused")
+                refused = {r.path: r.failed for r in spark.read.parquet(f"{folder}/refused").collect()}  # files that could not be written
+            waiting = iter(sorted(known))
+            at = next(waiting, None)
+            for r in done.select("ord", "path", "failed", "text", "report").orderBy("ord").toLocalIterator():
+                while at is not None and at < r.ord:
+                    yield known[at]
+                    at = next(waiting, None)
+                yield _report(r, refused.get(r.path))
+            while at is not None:
+                yield known[at]
+                at = next(waiting, None)
         else:
-            done = binary.stripped(read, "ord", "path", strip_icc=settings["strip_icc"], write=write).cache()
-            for r in done.select("ord", "path", F.col("cleaned").isNotNull().alias("changed"), "findings").collect():
-                found = [_plain(f) for f in r.findings]
-                out[r.ord] = report("", "", found) | {"path": r.path, "changed": r.changed}
-        if write:
-            failed = sink.write_in_place(done.where(F.col("cleaned").isNotNull()), settings["backup"]).where(F.col("failed").isNotNull()).collect()
-            at = {r["path"]: k for k, r in out.items()}
-            for r in failed:
-                mine = out[at[r.path]]
-                mine["changed"] = False
-                if kind == "binary":
-                    mine["findings"] = []
-                mine["findings"] = [*mine["findings"], binary.finding("write" if "refused" in r.failed else "read", "warn", r.failed, layer="io")]
-                mine["counts"] = report("", "", mine["findings"])["counts"]
-        done.unpersist()
-        held.unpersist()
-    return [out[k] for k in sorted(out)]
+            yield from (known[k] for k in sorted(known))
+    finally:
+        _remove(spark, folder)
+
+
+def _report(r, refused: str | None) -> dict:
+    if r.failed:
+        return skipped(r.path, r.failed)
+    if r.report is None:
+        return skipped(r.path, "skipped (not utf-8 text)")
+    mine = _plain(r.report)
+    found = mine["findings"]
+    if refused:
+        mine["changed"] = False
+        found = [*(found if r.text else []), binary.finding("write" if "refused" in refused else "read", "warn", refused, layer="io")]
+    return mine | {"findings": found, "counts": report("", "", found)["counts"], "path": r.path}
+
+
+def scan(spark: SparkSession, paths: list[str], settings: dict, write: bool) -> list[dict]:
+    """All reports at once."""
+    return list(reports(spark, paths, settings, write))
 
 
 def clean_bytes(raw: bytes, settings: dict, path: str = "<stdin>") -> tuple[dict, bytes]:

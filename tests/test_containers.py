@@ -120,3 +120,15 @@ def test_one_file_each(spark):
     assert done["d"].findings[0].message.startswith("could not parse")
     assert done["e"].findings[0].severity == "warn" and done["f"].stripped is None
     assert done["g"].findings[0].kind == "office" and not done["h"].findings
+
+
+def test_names_of_the_old_code_page_stay():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("docProps/core.xml", "<a><dc:creator>A</dc:creator></a>")
+        z.writestr("word/media/X_x.png", b"px")
+        z.writestr("word/media/ü.png", b"py")
+    raw = out.getvalue().replace(b"word/media/X_x.png", b"word/media/\x82_x.png")
+    done, n = office.strip(raw, ".docx")
+    names = lambda data: [i.filename for i in zipfile.ZipFile(io.BytesIO(data)).infolist()]
+    assert n == 1 and names(done) == names(raw) and zipfile.ZipFile(io.BytesIO(done)).testzip() is None

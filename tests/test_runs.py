@@ -105,3 +105,39 @@ def test_translation():
         translate.back_and_forth("x", client, source="EN-GB")
     with pytest.raises(translate.TranslationError):
         translate.back_and_forth("x", lambda *a: ("y", None))
+
+
+def test_staged_files(spark, tmp_path, monkeypatch, capsys):
+    import subprocess
+
+    git = lambda *words: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@e", *words], cwd=tmp_path, check=True, capture_output=True, text=True).stdout
+    git("init", "-q")
+    for name in ("ä b.md", "part.txt", "other.bin", "later.md"):
+        (tmp_path / name).write_text("one\u200btwo", "utf-8")
+    git("add", "ä b.md", "part.txt", "other.bin")
+    (tmp_path / "part.txt").write_text("one\u200btwo three", "utf-8")
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["staged"]) == 0
+    assert "1 of 1" in capsys.readouterr().out
+    assert git("show", ":ä b.md") == "onetwo" and not (tmp_path / "ä b.md.bak").exists()
+    assert git("show", ":part.txt") == "one\u200btwo" and (tmp_path / "later.md").read_text("utf-8") == "one\u200btwo"
+    monkeypatch.chdir("/")
+    assert cli.main(["staged"]) == 0
+
+
+def test_gate_command(spark, tmp_path, capsys):
+    (tmp_path / "a.md").write_text("one\u200btwo, without further ado.", "utf-8")
+    assert cli.main(["gate", str(tmp_path)]) == 0
+    assert (tmp_path / "a.md").read_text("utf-8") == "onetwo, without further ado."
+    (tmp_path / "b.md").write_text("We delve into it.", "utf-8")
+    assert cli.main(["gate", str(tmp_path)]) == 1 and "delve into" in capsys.readouterr().out
+
+
+def test_packaging_names_what_there_is():
+    import tomllib
+    from importlib import import_module
+    from pathlib import Path
+
+    made = tomllib.loads((Path(cli.__file__).parent.parent / "pyproject.toml").read_text())
+    module, _, name = made["project"]["scripts"]["quillsieve"].partition(":")
+    assert callable(getattr(import_module(module), name))
