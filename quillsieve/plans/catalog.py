@@ -27,7 +27,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 #: What each family of queries puts into texts, by the remainder of the key.
-ZW, NBSP, EM, THIN = "​", " ", " ", " "
+# Spaces and marks that look like others stand as escapes.
+ZW, NBSP, EM, THIN, LINE, PARA, PRIVATE = "\u200b", "\u00a0", "\u2003", "\u2009", "\u2028", "\u2029", "\ue000"
 SEEDS = {
     "typography": {
         0: "concat('“', substr(text, 1, 30), '” and ‘x’ «y» ', substr(text, 31))",
@@ -39,7 +40,7 @@ SEEDS = {
     "invisible": {
         0: f"concat(substr(text, 1, 40), '{ZW}{ZW}⁠', substr(text, 41))",
         1: "concat('soft­hyphen 󠀁󠁨󠁩 ', text)",
-        2: "concat('private  ⁪ use ', text, '￾')",
+        2: f"concat('private{PRIVATE}\u206a use ', text, '\ufffe')",
         3: "concat('‎bidi‮mark‬ ', text)",
         4: "concat('שלום ‎kept ', text)",
     },
@@ -47,7 +48,7 @@ SEEDS = {
         0: f"concat('one{EM}two　three ', text)",
         1: f"concat(substr(text, 1, 10), 'x{NBSP}y', substr(text, 11))",
         2: f"concat('10{NBSP}% and 5{THIN}kg of z.{NBSP}B. text ', text)",
-        3: "concat('line para ⠁⠀⠃ a⠀b ', text)",
+        3: f"concat('line{LINE}x{PARA}para \u2801\u2800\u2803 a\u2800b ', text)",
     },
     "joiners": {
         0: "concat('क्‍ष wa‍ter ', text)",
@@ -89,7 +90,7 @@ SEEDS = {
         4: "concat('at https://x.io/?utm_source=openai&k=v end ', text)",
         5: "concat('at https://x.io/?utm_source=newsletter end ', text)",
     },
-    "normal": {0: "concat('éàö ', text)", 1: "concat('Å ', text)"},
+    "normal": {0: "concat('e\u0301a\u0300o\u0308 ', text)", 1: "concat('A\u030a \u212b ', text)"},
 }
 MODULUS = 8
 
@@ -190,7 +191,7 @@ def invisible_remove_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPACES_SQL = f"""SELECT doc_id, CASE doc_id % {MODULUS}
     WHEN 0 THEN replace(replace(text, '{EM}', ' '), '　', ' ') WHEN 1 THEN replace(text, '{NBSP}', ' ')
-    WHEN 3 THEN replace(replace(replace(text, ' ', ' '), ' ', ' '), 'a⠀b', 'a b') ELSE text END AS cleaned FROM {source("spaces")}"""
+    WHEN 3 THEN replace(replace(replace(text, '{LINE}', ' '), '{PARA}', ' '), 'a\u2800b', 'a b') ELSE text END AS cleaned FROM {source("spaces")}"""
 
 
 @query("exotic_spaces", SPACES_SQL)

@@ -46,7 +46,7 @@ def test_full_clean_covers_every_document(spark, tmp_path):
 
 
 TEXTS = [
-    None, "", "plain", "x" * 50_000, "“a” — b… .....", "a​b‌م‌ ­", "1 %  z. B. a b  ⠀",
+    None, "", "plain", "x" * 50_000, "“a” — b… .....", "a​b‌م‌ ­", "1\u00a0%\u2003 z.\u00a0B. a\u2009b \u3000 5\u202fkg\u2028x\u2029 \u2801\u2800\u2803 a\u2800b",
     "&#8203;&amp;&zwj;&#x202E;&#xE0041;&#9999999;", "pаypal Привет", "```\n“x”", "u?utm_source=openai&x=1 v?utm_source=openai",
     "א‎‪ b", "️️a️ ❤️ ᠠ᠋", "a͏b א͏",
 ]
