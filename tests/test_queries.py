@@ -8,7 +8,7 @@ from quillsieve.functions import layers
 from quillsieve.functions.settings import checked
 from quillsieve.operators import findings, native
 from quillsieve.operators.clean import clean
-from quillsieve.plans import catalog
+from quillsieve.plans import casebook, catalog  # noqa: F401
 from quillsieve.streaming import live
 
 DATA = "/root/testdata/sf0.001"
