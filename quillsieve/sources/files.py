@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 from pathlib import Path
 
@@ -34,6 +35,55 @@ def kind_of(name: str, settings: dict) -> str | None:
     return next((kind for kind, key in KINDS.items() if suffix in {e.lower() for e in settings[key]}), None)
 
 
+def is_uri(path: str) -> bool:
+    """Whether a path names a file system (hdfs://, s3://, file://, ...), which pyarrow then opens."""
+    return re.match("[A-Za-z][A-Za-z0-9+.-]+://", path) is not None
+
+
+def opened(uri: str):
+    """The file system of a URI and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def _found(uri: str, exclude: set[str], unreadable: list[str], sizes: dict[str, int]):
+    """As walk(), of a URI that names a file or a folder; None if there is neither."""
+    from pyarrow import fs
+
+    system, at = opened(uri)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.NotFound:
+        return None
+    base = uri.rstrip("/")
+    if info.is_file:
+        sizes[uri] = info.size
+        return [uri]
+
+    def below():
+        stack = [at]
+        while stack:
+            folder = stack.pop()
+            try:
+                entries = sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda e: e.base_name)
+            except OSError:
+                unreadable.append(base + folder[len(at.rstrip("/")) :])
+                continue
+            folders = []
+            for e in entries:
+                if e.base_name in exclude:
+                    continue
+                if e.type == fs.FileType.Directory:
+                    folders.append(e.path)
+                elif e.is_file:
+                    name = base + e.path[len(at.rstrip("/")) :]
+                    sizes[name] = e.size
+                    yield name
+            stack += reversed(folders)
+
+    return below()
+
+
 def walk(folder: str, exclude: set[str], unreadable: list[str]):
     """Files below a folder, depth first and by name; excluded names are never entered, nor are links to folders."""
     try:
@@ -54,13 +104,17 @@ def walk(folder: str, exclude: set[str], unreadable: list[str]):
             unreadable.append(entry.path)
 
 
-def listed(paths: list[str], settings: dict) -> list[tuple[str, str]]:
-    """(kind, path) of all that is named, in the order of reports; one path for each real file and kind."""
-    exclude, unreadable = set(settings["exclude"]), []
+def listed(paths: list[str], settings: dict, sizes: dict[str, int] | None = None) -> list[tuple[str, str]]:
+    """(kind, path) of all that is named, in the order of reports; one path for each real file and kind.
+
+    sizes takes the lengths of files named by a URI. Below a URI the files of a folder come before
+    those of its folders.
+    """
+    exclude, unreadable, sizes = set(settings["exclude"]), [], {} if sizes is None else sizes
     out: dict[str, list[str]] = {k: [] for k in ORDER}
     for given in paths:
         try:
-            names = [given] if Path(given).is_file() else walk(given, exclude, unreadable) if Path(given).is_dir() else None
+            names = _found(given, exclude, unreadable, sizes) if is_uri(given) else [given] if Path(given).is_file() else walk(given, exclude, unreadable) if Path(given).is_dir() else None
         except OSError:
             unreadable.append(given)
             continue
@@ -70,40 +124,48 @@ def listed(paths: list[str], settings: dict) -> list[tuple[str, str]]:
         for name in names:
             kind = kind_of(name, settings)
             if kind:
-                out[kind].append(str(Path(name)))
+                out[kind].append(name if is_uri(name) else str(Path(name)))
     out["unreadable"] = unreadable
     for kind in KINDS:
-        out[kind] = list({os.path.realpath(p): p for p in reversed(out[kind])}.values())[::-1]
+        out[kind] = list({p if is_uri(p) else os.path.realpath(p): p for p in reversed(out[kind])}.values())[::-1]
     return [(kind, p) for kind in ORDER for p in out[kind]]
 
 
 def listing(spark: SparkSession, paths: list[str], settings: dict) -> DataFrame:
     """ord, kind, path, suffix, length of the files named; length is null where there is none."""
-    rows = []
-    for k, (kind, p) in enumerate(listed(paths, settings)):
+    rows, sizes = [], {}
+    for k, (kind, p) in enumerate(listed(paths, settings, sizes)):
         try:
-            size = os.stat(p).st_size if kind in KINDS else None
+            size = (sizes[p] if p in sizes else os.stat(p).st_size) if kind in KINDS else None
         except OSError:
             size = None
         rows.append((k, kind, p, Path(p).suffix.lower(), size))
     return spark.createDataFrame(rows, "ord long, kind string, path string, suffix string, length long")
 
 
+def bytes_of(path: str) -> bytes:
+    if is_uri(path):
+        system, at = opened(path)
+        with system.open_input_stream(at) as file:
+            return file.read()
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def _read(batches):
     import pyarrow as pa
 
     for batch in batches:
         for k, path in enumerate(batch.column(0).to_pylist()):  # one at a time: files can be large
             try:
-                with open(path, "rb") as file:
-                    content, failed = file.read(), None
+                content, failed = bytes_of(path), None
             except OSError as error:
                 content, failed = None, "skipped (permission denied)" if isinstance(error, PermissionError) else "skipped (i/o error)"
             yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns), pa.array([content], pa.binary()), pa.array([failed], pa.string())], [*batch.schema.names, "content", "failed"])
 
 
 def contents(listed: DataFrame) -> DataFrame:
-    """listed (path first) with content, or with what failed; the executors read, from a file system they share.
+    """listed (path first) with content, or with what failed; the executors read, from a file system they share or one named by a URI.
 
     Spark's own binary source leaves out names that begin with a dot or an underscore.
     """

@@ -6,18 +6,26 @@ import os
 import shutil
 import stat
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import is_uri, opened
+
 
 class Refused(OSError):
     """A link that would have been written through."""
 
 
 def replace_file(path: str, content: bytes, backup: bool = True) -> None:
-    """New content under the same name and mode, all or nothing; the first content ever stays as name.ext.bak."""
+    """New content under the same name and mode, all or nothing; the first content ever stays as name.ext.bak.
+
+    Below a URI a file has no mode to keep, and the new one is moved over the old as its file system does that.
+    """
+    if is_uri(path):
+        return _replace_uri(path, content, backup)
     target = Path(path)
     if target.is_symlink():
         raise Refused(f"refusing to write through symlink: {target}")
@@ -38,6 +46,22 @@ def replace_file(path: str, content: bytes, backup: bool = True) -> None:
         raise
 
 
+def _replace_uri(path: str, content: bytes, backup: bool) -> None:
+    system, at = opened(path)
+    folder, _, name = at.rpartition("/")
+    if backup and not system.get_file_info(f"{at}.bak").is_file:
+        system.copy_file(at, f"{at}.bak")
+    made = f"{folder}/.{name}.{uuid.uuid4().hex}.new"
+    try:
+        with system.open_output_stream(made) as out:
+            out.write(content)
+        system.move(made, at)
+    except BaseException:
+        if system.get_file_info(made).is_file:
+            system.delete_file(made)
+        raise
+
+
 def write_in_place(files: DataFrame, backup: bool = True) -> DataFrame:
     """files: path, cleaned (bytes or null). Writes where a file changes, from the executors; gives path and what failed (or null)."""
 

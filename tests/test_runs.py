@@ -141,3 +141,14 @@ def test_packaging_names_what_there_is():
     made = tomllib.loads((Path(cli.__file__).parent.parent / "pyproject.toml").read_text())
     module, _, name = made["project"]["scripts"]["quillsieve"].partition(":")
     assert callable(getattr(import_module(module), name))
+
+
+def test_folders_named_by_a_uri(spark, tree):
+    base = f"file://{tree}"
+    names = [(k, p.removeprefix(base + "/")) for k, p in files.listed([base, f"{base}/none", f"{base}/a.MD"], options.defaults())]
+    assert names == [("missing", "none"), ("text", ".hidden.txt"), ("text", "link.md"), ("text", "sub/bad.txt"), ("text", "sub/big.txt"), ("text", "a.MD"), ("image", "sub/x.svg")]
+    os.unlink(tree / "link.md")
+    reports = {r["path"]: r for r in runs.scan(spark, [base], options.checked({"max_file_bytes": 50}), write=True)}
+    assert reports[f"{base}/a.MD"]["changed"] and (tree / "a.MD").read_text("utf-8") == "ab" and (tree / "a.MD.bak").read_text("utf-8") == "a\u200bb"
+    assert "larger" in reports[f"{base}/sub/big.txt"]["findings"][0]["message"] and (tree / "sub" / "x.svg").read_text() == "<svg></svg>"
+    assert not [n for n in os.listdir(tree) if n.endswith(".new")]
