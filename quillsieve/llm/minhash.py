@@ -329,7 +329,10 @@ def links(sigs: DataFrame, texts: DataFrame, width: int, percent: int, miss: flo
     columns = [*KEYS, "band", "half", "node", "comp", "size", "sig"]
     kinds = "b0 int, b1 int, bucket long, band int, half int, node long, comp long, size long, sig binary"
     left = staged(brought(rows.join(sigs, "node").select(columns)).mapInArrow(_active(steps, percent, ROWS), kinds), "left")
-    left = brought(texts.join(small(left, left.count(), 800), "node").select(*columns, "text"))
+    # Of the texts only those needed are moved; ids alone say which.
+    needed = left.select("node").distinct()
+    some = texts.join(small(needed, needed.count()), "node", "left_semi")
+    left = brought(some.join(left, "node").select(*columns, "text"))
     return found.unionByName(staged(left.mapInArrow(_link(width, steps, percent, ROWS), "a long, b long"), "links"))
 
 
