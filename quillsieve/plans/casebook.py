@@ -13,6 +13,7 @@ import os
 import re
 import shutil
 import struct
+import subprocess
 import tempfile
 import unicodedata
 import zipfile
@@ -27,7 +28,7 @@ from ..functions import settings as options, translate
 from ..operators import binary, findings, hits
 from ..operators.clean import clean, normalized
 from ..shipping import ship
-from ..sources import files, runs
+from ..sources import files, runs, staged
 from ..streaming import live
 from .catalog import ARTIFACT_SQL, BIDI, GONE, HITS_SQL, MODULUS, RULES, query, quoted, seeded, source
 
@@ -541,6 +542,32 @@ def links_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(now, "path").select("name", "written", "content")
 
 
+@query(
+    "staged_files",
+    """SELECT n_name || CASE n_nationkey % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.bin' ELSE '.png' END AS name,
+        CASE WHEN n_nationkey % 3 = 1 OR n_nationkey % 4 = 3 THEN '' WHEN n_nationkey % 5 = 2 THEN 'partial' ELSE 'whole' END AS staged FROM nation""",
+)
+def staged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation in a git work tree, some staged, some changed after that: which of them a commit would clean."""
+    folder = _folder(spark, "staged")
+    git = lambda *words: subprocess.run(["git", *words], cwd=folder, check=True, capture_output=True)
+    git("init", "-q")
+    names, later = {}, []
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():
+        names[r.n_nationkey] = r.n_name + (".md", ".bin", ".png")[r.n_nationkey % 3]
+        with open(os.path.join(folder, names[r.n_nationkey]), "w", encoding="utf-8") as out:
+            out.write(r.n_name)
+        if r.n_nationkey % 4 != 3:
+            git("add", "--", names[r.n_nationkey])
+            later += [names[r.n_nationkey]] * (r.n_nationkey % 5 == 2)
+    for name in later:
+        with open(os.path.join(folder, name), "a", encoding="utf-8") as out:
+            out.write(" and more")
+    whole, partial = staged.files(options.defaults(), folder)
+    state = {os.path.basename(p): s for paths, s in ((whole, "whole"), (partial, "partial")) for p in paths}
+    return spark.createDataFrame([(n, state.get(n, "")) for n in names.values()], "name string, staged string")
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 
