@@ -88,7 +88,9 @@ def filled(sizes, weights=(5, 2, 1), epochs=3):
         free -= over
 
 
-def test_mixing(docs):
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_mixing(docs, limit, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)  # with 0 nothing is broadcast
     out, new = mixing.mix(docs)
     got = out.collect()
     assert len(got) == len(DOCS) and new["size"] == "size_" and got[0]["size"] == "kept"
@@ -507,7 +509,9 @@ def test_pieces_over_a_table(docs):
 PAGE = '<html><body><header>Site</header><nav><ul><li><a>m</a></ul></nav><div class="notice">Read our rules</div><div class=x><div>Same motto</div><h1>T{0}</h1><p>Text {0} &lt;b&gt;<br>more &amp<script>"</p>"</script><p>Second   {0}</div><div class="ad big">Buy</div><form>f</form><section id="comments"><p>c</p></section><aside>s</aside><footer>&copy;'
 
 
-def test_pages(spark):
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_pages(spark, limit, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     data = [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(8)]
     data += [(20, None, None), (21, "http://one.example/", ""), (22, "http://one.example/a", "<article><h1>A</h1>x <b>y</b>z<ul><li>1<li>2</ul></article>rest"), (22, "http://one.example/a", "<p>" * 3000 + "deep"), (23, "u", "<div>" * 3000 + "deep"), (24, "u", "<!-- open"), (25, "u", '<a href="'), (26, "u", "a < b & c")]
     table = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit(1))
