@@ -30,13 +30,13 @@ from ..operators.clean import clean, normalized
 from ..shipping import ship
 from ..sources import files, runs, staged
 from ..streaming import live
-from .catalog import ARTIFACT_SQL, BIDI, GONE, HITS_SQL, MODULUS, RULES, query, quoted, seeded, source
+from .catalog import ARTIFACT_SQL, BIDI, GONE, HITS_SQL, MODULUS, RULES, query, quoted, seeded, source, table
 
 KEY = "lpad(CAST(doc_id AS {string}), 12, '0')"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _spark_bytes(*parts: str | bytes | Column) -> Column:

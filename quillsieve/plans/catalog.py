@@ -100,8 +100,13 @@ def seed(family: str) -> str:
     return f"CASE doc_id % {MODULUS} {cases} ELSE text END"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return files.spread(df, df.columns[0])
+
+
 def seeded(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     # Spark reads \ in a string as an escape; the seeds hold none.
     return docs.withColumn("text", F.expr(seed(family)))
 
@@ -520,26 +525,26 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dedupe_first", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return files.first_of_each(docs, "text", "doc_id").select("doc_id", "source")
 
 
 @query("html_comment_strip", "SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS BIGINT) AS n_comments, regexp_replace(html, '<!--.*?-->', '', 'gs') AS cleaned FROM pages")
 def html_comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", native.svg_hits(F.col("html")).alias("n_comments"), native.svg_stripped(F.col("html")).alias("cleaned"))
 
 
 @query("valid_text", "SELECT doc_id, doc_id % 3 <> 0 AS valid FROM documents")
 def valid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     content: Column = F.when(F.col("doc_id") % 3 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("text", "UTF-8"))
     return docs.select("doc_id", files.text_of(content).isNotNull().alias("valid"))
 
 
 @query("pdf_scan", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(doc_id % 5 + 1 AS BIGINT) END AS hits FROM documents")
 def pdf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     body = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("no ")).otherwise(F.lit("")), F.lit("%PDF-1.7 /Producer "), F.repeat(F.lit("/Author (x) "), (F.col("doc_id") % 5).cast("int")))
     return docs.select("doc_id", native.pdf_hits(F.encode(body, "UTF-8")).alias("hits"))
 
@@ -565,7 +570,7 @@ def _docx() -> bytes:
     """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS stripped, CAST(CASE WHEN doc_id % 2 = 0 THEN 'text,timestamp' ELSE 'comment' END AS VARCHAR) AS kinds FROM documents""",
 )
 def image_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     even = F.col("doc_id") % 2 == 0
     rows = docs.select("doc_id", F.when(even, ".png").otherwise(".jpg").alias("suffix"), F.when(even, F.lit(PNG_BYTES)).otherwise(F.lit(JPEG_BYTES)).alias("content"))
     return binary.stripped(rows, "doc_id").select("doc_id", "stripped", F.array_join(F.transform("blocks", lambda b: b["kind"]), ",").alias("kinds"))
@@ -573,7 +578,7 @@ def image_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("office_strip", "SELECT doc_id, 3 AS stripped, 1 AS n_findings FROM documents")
 def office_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.lit(".docx").alias("suffix"), F.lit(_docx()).alias("content"))
     return binary.stripped(rows, "doc_id").select("doc_id", "stripped", F.size("findings").alias("n_findings"))
 

@@ -194,6 +194,12 @@ def first_of_each(files: DataFrame, real: str = "realpath", order: str = "ord")
     return kept.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.col(order)))).where(F.col(place) == 1).select(files.columns)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in two partitions for each core if it is read in fewer than there are cores, as one small file is; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_of(content):
     """Bytes as text; null where they aren't UTF-8."""
     return F.try_validate_utf8(content.cast("string"))
