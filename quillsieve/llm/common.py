@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..sources.files import spread
+
 #: White space of the word contracts: blank and U+0009 to U+000D.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
@@ -24,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores if it is small enough to be read by fewer tasks."""
+    df = table(spark, sf_dir, name)
+    return spread(df, df.columns[0])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

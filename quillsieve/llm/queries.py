@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, minhash, mixing, pieces, pii, quality, token_io, winnowing, wrapper
-from .common import staged, table
+from .common import staged, table, texts
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,23 +18,23 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     narrow = staged(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "sizes")
     out, _ = mixing.mix(narrow, size_col="size", text_col="size")
     return out.select("doc_id", F.col("size"), "source_size", "target", "taken")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_io.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    folder = token_io.write(texts(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return token_io.read(spark, folder)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(texts(spark, sf_dir, "documents"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.annotate(table(spark, sf_dir, "documents"))
+    return minhash.annotate(texts(spark, sf_dir, "documents"))
 
 
 def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +44,19 @@ def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.annotate(table(spark, sf_dir, "documents"))
+    return exact_dedup.annotate(texts(spark, sf_dir, "documents"))
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.report(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return pieces.report(texts(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wrapper.main_texts(table(spark, sf_dir, "pages"))
+    return wrapper.main_texts(texts(spark, sf_dir, "pages"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.annotate(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
