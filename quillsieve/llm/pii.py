@@ -167,9 +167,9 @@ def joined(found: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id, counts of the base kinds, a digest of the base spans, all spans, and the score of each in hundredths."""
+    """One row per document: its id, counts of the base kinds, a digest of the base spans, all spans, their number, and the score of each in hundredths."""
     rows = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "found")
     count = lambda name: F.size(F.filter("found", lambda s: s["kind"] == name)).cast("long")
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     scores = F.array_join(F.transform("found", lambda s: F.round(100 * s["score"]).cast("int").cast("string")), ",")
-    return rows.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), scores.alias("scores"))
+    return rows.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"), scores.alias("scores"))
