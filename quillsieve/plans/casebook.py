@@ -409,12 +409,13 @@ def rule_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A folder that executors share, by a path of the file system: below spark.checkpoint.dir if that is a local or mounted path."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
-    base = re.sub("^file:/+", "/", shared)
-    if shared and base.startswith("/"):
-        os.makedirs(base, exist_ok=True)
-    path = tempfile.mkdtemp(prefix=f"quillsieve-{name}-", dir=base if base.startswith("/") else None)
+    """A folder that executors share, as a path: below spark.checkpoint.dir, which has to be a mounted path for these queries; a session on one machine makes its own."""
+    shared = re.sub("^file:/+", "/", spark.conf.get("spark.checkpoint.dir", None) or "")
+    if shared.startswith("/"):
+        os.makedirs(shared, exist_ok=True)
+    elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("these queries write files: set spark.checkpoint.dir to a path that all executors share")
+    path = tempfile.mkdtemp(prefix=f"quillsieve-{name}-", dir=shared if shared.startswith("/") else None)
     atexit.register(shutil.rmtree, path, True)
     return path
 
@@ -574,7 +575,7 @@ def staged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_clean", f"SELECT doc_id, regexp_replace(text, '{GONE}|{BIDI}', '', 'g') AS cleaned FROM (SELECT doc_id, text FROM documents WHERE text IS NOT NULL)")
 def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, cleaned until no more are there."""
-    out = _folder(spark, "stream")
+    out = "file://" + _folder(spark, "stream")
     held = _documents(spark, sf_dir)
     held.where(F.col("text").isNotNull()).repartition(4).write.parquet(f"{out}/in")
     stream = live.read(spark, f"{out}/in", held.schema, files_a_step=2)
