@@ -8,7 +8,8 @@ c / w, so one running sum over the sources, sorted by c / w, gives it exactly.
 A source's target is then taken as whole repetitions of every document plus one fractional
 repetition: documents in order of a seeded key, up to the word where the target is reached. The
 cut is found in two aggregations, first by 4096 key ranges, then by key within the one range
-where the cut falls, so no group of documents is ever gathered, and applying it is a map.
+where the cut falls, so no group of documents is ever gathered, and applying it is a map. Sorted in
+one task are the sources, one row each, and of a source the keys of one range, 1 in 4096.
 
 Defined results: a null text has no words; the null source is a source, sorted last; documents of
 one key (repeated ids) at the cut share what is left evenly, rounded down; the mixture itself
