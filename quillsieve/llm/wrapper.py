@@ -4,11 +4,13 @@ Pages of one host come from one template. Trees of block elements are aligned by
 matching: the largest number of node pairs of equal kind (tag with class or id), in order, level
 by level. Runs of siblings of one kind are one iterated node, as lists and paragraphs repeat.
 
-Three passes. From a bounded sample of a host's pages (pages of the same blocks and text count
-once) a template is merged: a position for every node of any sampled page. Then every page of the
-host is aligned with it, and for each position it is counted on how many pages it stands, how
-much text of its own it has, how much of that is links, how often it repeats the page's title,
-and how often each text that the sample saw several times stands there. From these the positions are judged (`judge`):
+All pages of a host take part in each step; those of the same blocks, texts and links count once.
+First every page becomes its record: the kinds of its nodes, and of their texts digest and size.
+Names of elements that stand on fewer than `LEAST` pages of the host (numbers of articles and the
+like) are one name, `?`. From all records a template is merged: a position for every node of any
+page. Then every record is aligned with it, and for each position it is counted on how many pages it
+stands, how much text of its own it has, how much of that is links, how often it repeats the page's
+title, and on how many pages each of its texts stands there. From these the positions are judged (`judge`):
 
 - a text that stands at its position on at least `SHARE` of the pages that have it is constant: template;
 - the content is the lowest position that holds most of the text that varies and isn't linked;
@@ -16,9 +18,9 @@ and how often each text that the sample saw several times stands there. From the
   between that and the way down, or hold text of the same order; positions within it are content,
   but for those that are mostly links.
 
-Third, every page is aligned again and gives the text of its content positions. A node at no
+Last, every page is aligned again and gives the text of its content positions. A node at no
 known position takes part in what is around it; outside the content it has to have unlinked text
-and no mark. Marks are tags, roles, classes and ids by which an element names itself as menu,
+and no mark, and one at a position of fewer than `LEAST` pages, or of the name `?`, no mark. Marks are tags, roles, classes and ids by which an element names itself as menu,
 advert, form, comments and the like: they also cut such elements within the content, and they
 alone decide (`prune`) on hosts with fewer than `LEAST` different pages or without text that
 varies, and on pages that lack the content positions of their host. The column `rule` tells which of
@@ -38,24 +40,25 @@ import hashlib
 import html as entities
 import json
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import scratch, small, staged
 
-SAMPLE = 24  # pages of a host from which its template is merged; all its pages are counted
-LEAST = 5  # different pages below which a host has no template
-AGAIN = 3  # sampled pages that share a text before it is counted on all; one on 80 % of all pages is on fewer in 1 host of 10^12
+LEAST = 5  # different pages below which a host has no template, a text isn't constant, and a name of an element is none
 SHARE = 0.8
 MOST = 0.6  # of the varying text of a position that one below it must hold to be the way down
 ORDER = 0.1  # of the text of the way down that a position beside it must have to be content
 TEXT = 200  # code points a page, on average, below which a position whose own mark says that it is no article isn't content
+PART = 2  # hexadecimal digits of the digests of shapes that are merged in one task: 256 parts of a host
+MOST_COUNTS = 1 << 17  # entries that a task holds before it gives them on
 CELLS = 1 << 21  # pairs of children above which a table is split, so that memory stays bounded; the result is as large
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
@@ -278,13 +281,13 @@ def prune(root: Node) -> tuple[Node, int]:
 
 
 class Slot:
-    """A position: its kind, the positions below it, the nodes of one page that stand there, and what is known of it."""
+    """A position: its kind, the positions below it, the nodes of one page that stand there (or what is seen of them), and what is known of it."""
 
-    __slots__ = ("constant", "does", "kids", "kind", "nodes", "number", "texts")
+    __slots__ = ("constant", "does", "kids", "kind", "names", "nodes", "number")
 
     def __init__(self, kind: str, kids: list[Slot] | None = None, nodes: list[Node] | None = None) -> None:
         self.kind, self.kids, self.nodes = kind, kids or [], nodes or []
-        self.texts, self.constant, self.does, self.number = Counter(), frozenset(), "", 0
+        self.constant, self.does, self.names, self.number = frozenset(), "", frozenset(), 0
 
 
 def _totals(weights: np.ndarray) -> np.ndarray:
@@ -368,7 +371,6 @@ def merge(a: Slot, b: Slot) -> None:
     while stack:
         s, n = stack.pop()
         s.nodes += n.nodes
-        s.texts.update(n.texts)
         kids, i, j = [], 0, 0
         for x, y in plan.get((id(s), id(n)), ()):
             kids += s.kids[i:x] + n.kids[j:y] + [s.kids[x]]
@@ -408,41 +410,27 @@ def _digest(text: str) -> str:
 # --- templates ----------------------------------------------------------------------------------
 
 
-class Template:
-    """Merges the pages of one host's sample."""
-
-    def __init__(self) -> None:
-        self.top: Slot | None = None
-        self.known: set[str] = set()
+def _seen(node: Node, title: str) -> list:
+    """Digest and code points of a node's own text, those in links, and whether it repeats the title."""
+    line = own(node)
+    if not line:
+        return []
+    links = sum(len(x.strip()) for x in node.items if isinstance(x, Linked))
+    return [_digest(line), len(line), links, int(2 * links < len(line) and bool(title) and (line in title or title in line))]
 
-    def add(self, page: str) -> None:
-        tree, _ = parse(page)
-        same = _digest(json.dumps([[n.tag, n.key, own(n)] for n in _walk(tree)]))
-        if same in self.known:
-            return
-        self.known.add(same)
-        top = fold(tree)
-        for slot in slots(top):
-            slot.texts = Counter({_digest(t) for t in map(own, slot.nodes) if t})
-            slot.nodes = []
-        if self.top is None:
-            self.top = top
-        else:
-            merge(self.top, top)
 
-    def made(self) -> str | None:
-        """As JSON: of each position in order its kind, the number of those just below it, and the texts to be counted."""
-        if len(self.known) < LEAST:
-            return None
-        return json.dumps([[s.kind, len(s.kids), sorted(t for t, n in s.texts.items() if n >= AGAIN)] for s in slots(self.top)])
+def record(page: str) -> str:
+    """A page as JSON: of each position in order its kind, the number of those just below it, and what is seen of its nodes."""
+    tree, title = parse(page)
+    return json.dumps([[s.kind, len(s.kids), [_seen(n, title) for n in s.nodes]] for s in slots(fold(tree))])
 
 
-def load(made: str, does: str = "", constants: list[list[str]] | None = None) -> Slot:
-    rows = json.loads(made)
+def read(rows: list[list]) -> Slot:
+    """The positions of a record, or of a shape, which has kinds and numbers only."""
     top, open_ = None, []
-    for i, (kind, kids, texts) in enumerate(rows):
-        slot = Slot(kind)
-        slot.number, slot.does, slot.constant = i, does[i : i + 1], frozenset(constants[i] if constants else texts)
+    for i, (kind, kids, *nodes) in enumerate(rows):
+        slot = Slot(kind, nodes=nodes[0] if nodes else None)
+        slot.number = i
         while open_ and not open_[-1][1]:
             open_.pop()
         if open_:
@@ -454,26 +442,95 @@ def load(made: str, does: str = "", constants: list[list[str]] | None = None) ->
     return top
 
 
+def renamed(top: Slot, names: frozenset[str]) -> Slot:
+    """The positions of one page with kinds beyond those given as kinds of the name ?, folded anew."""
+    order = list(slots(top))
+    if all(s.kind in names for s in order):
+        return top
+    for slot in reversed(order):  # positions come before those above them
+        if slot.kind not in names:
+            slot.kind = slot.kind.partition(" ")[0] + " ?"
+        kids: list[Slot] = []
+        for kid in slot.kids:
+            if kids and kids[-1].kind == kid.kind:
+                merge(kids[-1], kid)
+            else:
+                kids.append(kid)
+        slot.kids = kids
+    return top
+
+
+def shape(top: Slot) -> str:
+    """As JSON: of each position in order its kind and the number of those just below it."""
+    return json.dumps([[s.kind, len(s.kids)] for s in slots(top)])
+
+
+def merged(shapes: Iterable[str]) -> str:
+    top = None
+    for made in shapes:
+        if top is None:
+            top = read(json.loads(made))
+        else:
+            merge(top, read(json.loads(made)))
+    return shape(top)
+
+
+class Template:
+    """Merges the pages of one host as `templates` does, in one place."""
+
+    def __init__(self) -> None:
+        self.known: set[str] = set()
+
+    def add(self, page: str) -> None:
+        self.known.add(record(page))
+
+    def made(self) -> str | None:
+        """The shape of all pages together."""
+        if len(self.known) < LEAST:
+            return None
+        pages = [json.loads(r) for r in self.known]
+        stands = Counter(kind for rows in pages for kind in {row[0] for row in rows})
+        names = frozenset(kind for kind, n in stands.items() if n >= LEAST)
+        parts: dict[str, list[str]] = {}
+        for at, made in sorted((_digest(x), x) for x in {shape(renamed(read(rows), names)) for rows in pages}):
+            parts.setdefault(at[:PART], []).append(made)
+        return merged(merged(part) for part in parts.values())
+
+
+def load(made: str, does: str = "", constants: list[list[str]] | None = None) -> Slot:
+    top = read(json.loads(made))
+    order = list(slots(top))
+    for i, slot in enumerate(order):
+        slot.does, slot.constant = does[i : i + 1], frozenset(constants[i] if constants else ())
+    top.names = frozenset(slot.kind for slot in order)
+    return top
+
+
 #: What is counted for a position, or for a text at a position: pages, code points, those in links, pages on which it repeats the title.
 Counts = dict[tuple[int, str], list[int]]
 
 
 def count(page: str, template: Slot, counts: Counts) -> None:
-    tree, title = parse(page)
-    for slot, here in paired(template, fold(tree)):
-        every, links, texts = 0, 0, Counter()
-        for node in here.nodes:
-            line = own(node)
-            if line:
-                every += len(line)
-                links += sum(len(x.strip()) for x in node.items if isinstance(x, Linked))
-                if slot.constant:
-                    texts[_digest(line)] += len(line)
-        titled = len(here.nodes) == 1 and 0 < every and 2 * links < every and bool(title) and (line in title or title in line)
-        for at, row in [((slot.number, ""), (1, every, links, titled))] + [((slot.number, t), (1, texts[t], 0, 0)) for t in slot.constant & texts.keys()]:
-            have = counts.setdefault(at, [0, 0, 0, 0])
-            for k in range(4):
-                have[k] += row[k]
+    count_record(record(page), template, counts)
+
+
+def count_record(made: str, template: Slot, counts: Counts) -> None:
+    for slot, here in paired(template, renamed(read(json.loads(made)), template.names)):
+        every, links, titled, texts = 0, 0, 0, Counter()
+        for seen in here.nodes:
+            if seen:
+                every += seen[1]
+                links += seen[2]
+                titled = seen[3]
+                texts[seen[0]] += seen[1]
+        titled = titled if len(here.nodes) == 1 else 0
+        for at, row in [((slot.number, ""), (1, every, links, titled))] + [((slot.number, t), (1, n, 0, 0)) for t, n in texts.items()]:
+            have = counts.get(at)
+            if have is None:
+                counts[at] = list(row)
+            else:
+                for k in range(4):
+                    have[k] += row[k]
 
 
 def _marked(slot: Slot) -> bool:
@@ -482,18 +539,16 @@ def _marked(slot: Slot) -> bool:
 
 
 def judge(made: str, counts: Counts) -> tuple[str, list[list[str]]] | None:
-    """What each position is (c: content, t: template, p: on the way to content) and its constant texts; None if there is too little to judge by."""
+    """What each position is (c: content, r: content on fewer than LEAST pages, t: template, p: on the way to content) and its constant texts; None if there is too little to judge by."""
     order = list(slots(load(made)))
     n = len(order)
     pages, every, links, titled = (np.array([counts.get((i, ""), (0, 0, 0, 0))[k] for i in range(n)], np.int64) for k in range(4))
     constants: list[list[str]] = [[] for _ in order]
     free = every - links
-    for slot in order:
-        for t in sorted(slot.constant):
-            seen = counts.get((slot.number, t), (0, 0))
-            if seen[0] >= LEAST and seen[0] >= SHARE * pages[slot.number]:
-                constants[slot.number].append(t)
-                free[slot.number] -= seen[1]
+    for (i, t), seen in sorted(counts.items()):
+        if t and seen[0] >= LEAST and seen[0] >= SHARE * pages[i]:
+            constants[i].append(t)
+            free[i] -= seen[1]
     free = np.maximum(free, 0)
     mass, linked = free.copy(), links.copy()
     for slot in reversed(order):
@@ -503,7 +558,7 @@ def judge(made: str, counts: Counts) -> tuple[str, list[list[str]]] | None:
     does = ["t"] * n
     at = order[0]
     while True:
-        down = max(at.kids, key=lambda s: mass[s.number], default=None)
+        down = max((s for s in at.kids if pages[s.number] >= LEAST), key=lambda s: mass[s.number], default=None)
         if down is None or not down.kids or mass[down.number] < MOST * mass[at.number] or free[at.number] > ORDER * mass[at.number]:
             break
         does[at.number] = "p"
@@ -528,7 +583,7 @@ def judge(made: str, counts: Counts) -> tuple[str, list[list[str]]] | None:
                 continue
             often = 2 * pages[i] > pages[root.number]
             does[i] = "t" if often and linked[i] > mass[i] else "c"
-    return "".join(does), constants
+    return "".join("r" if d == "c" and pages[i] < LEAST else d for i, d in enumerate(does)), constants
 
 
 # --- extraction ---------------------------------------------------------------------------------
@@ -550,7 +605,7 @@ def _by_template(tree: Node, template: Slot) -> tuple[str, int, int] | None:
     """Text and the code points that went by position and by marks; None if the page has none of the content positions."""
     at: dict[int, Slot] = {}
     found = False
-    for slot, here in paired(template, fold(tree)):
+    for slot, here in paired(template, renamed(fold(tree), template.names)):
         found |= slot.does == "c"
         for node in here.nodes:
             at[id(node)] = slot
@@ -574,7 +629,9 @@ def _by_template(tree: Node, template: Slot) -> tuple[str, int, int] | None:
             blocks.flush()
             known = at.get(id(x))
             below = known.does if known and state != "t" else state
-            if x.inert or (x.off and state == "c") or (x.off and below == "p" and not known):
+            unsure = not known or known.does == "r" or known.does == "c" and known.kind.endswith(" ?")
+            below = "c" if below == "r" else below
+            if x.inert or (x.off and state == "c") or (x.off and state == "p" and unsure):
                 marked += _amounts(x)[0]
                 continue
             if below == "p" and not known:  # at no known position, outside the content
@@ -623,52 +680,143 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def _induce():
+def _pack(text: str) -> bytes:
+    """What is sent along with every page of a host, where names come again and again."""
+    return zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
+
+
+def _unpack(packed: bytes) -> str:
+    return zlib.decompress(packed).decode("utf-8", "surrogatepass")
+
+
+def _records():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, template = None, Template()
-        hosts, made = [], []
+        for batch in batches:
+            made = [record(page or "") for page in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "record"])
+
+    return run
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """host, record: the different pages of each host (pages: host, html)."""
+    return pages.select("host", "html").mapInArrow(_records(), "host string, record string").distinct()
+
+
+def _kinds():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, str]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = [[h for h, _ in counts], [k for _, k in counts], list(counts.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "kind", "pages"])
+
+        for batch in batches:
+            for h, made in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.update((h, kind) for kind in {row[0] for row in json.loads(made)})
+                if len(counts) > MOST_COUNTS:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    return run
 
-        def close() -> None:
-            done = template.made()
-            if done:
-                hosts.append(now)
-                made.append(done)
 
+def _names():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if h != now:
-                    close()
-                    now, template = h, Template()
-                template.add(page or "")
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.string())], ["host", "template"])
+            names = [_pack(json.dumps(sorted(x))) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary())], ["host", "names"])
 
     return run
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template: positions merged from at most SAMPLE pages of each host (pages: host, url, id, html)."""
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = Window.partitionBy("host").orderBy(F.xxhash64("url", "id"), "url", "id")
-    sample = pages.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE)
-    return sample.repartition(tasks, "host").sortWithinPartitions("host", "place").select("host", "html").mapInArrow(_induce(), "host string, template string")
+def _shapes():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, frozenset[str]] = {}
+        known: set[tuple[str, str]] = set()  # those given already, a bounded number of them
+        for batch in batches:
+            out = [[], [], []]
+            for h, made, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if packed not in names:
+                    if len(names) > 1000:
+                        names.clear()
+                    names[packed] = frozenset(json.loads(_unpack(packed)))
+                here = shape(renamed(read(json.loads(made)), names[packed]))
+                at = _digest(here)
+                if (h, at) not in known:
+                    if len(known) > MOST_COUNTS:
+                        known.clear()
+                    known.add((h, at))
+                    for column, x in zip(out, (h, at, here), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["host", "at", "shape"])
+
+    return run
+
+
+def _merge():
+    """Merges the different shapes of each host and part, which follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, top = None, None, None
+
+        def out() -> pa.RecordBatch:
+            columns = [[now[0]], [now[1]], [shape(top)]] if now else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "at", "shape"])
+
+        for batch in batches:
+            for h, part, at, made in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if (h, part) != now:
+                    yield out()
+                    now, last, top = (h, part), at, read(json.loads(made))
+                elif at != last:
+                    last = at
+                    merge(top, read(json.loads(made)))
+        yield out()
+
+    return run
+
+
+def templates(seen: DataFrame) -> DataFrame:
+    """host, template: positions merged from all pages of each host that has LEAST different ones (seen: host, record).
+
+    Shapes are merged in the order of their digests, first those whose digests begin alike, each
+    such part in one task, then the parts of a host.
+    """
+    tasks = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = seen.mapInArrow(_kinds(), "host string, kind string, pages long").groupBy("host", "kind").agg(F.sum("pages").alias("pages"))
+    by_host = kinds.where(F.col("pages") >= LEAST).groupBy("host").agg(F.collect_list("kind").alias("kinds"))
+    names = staged(by_host.mapInArrow(_names(), "host string, names binary"), "names")
+    rows = seen.join(small(names, _bytes(names)), "host").select("host", "record", "names")
+    shapes = rows.mapInArrow(_shapes(), "host string, at string, shape string")
+    for part in (F.substring("at", 1, PART), F.lit("")):
+        shapes = shapes.select("host", part.alias("part"), "at", "shape").repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "at")
+        shapes = shapes.mapInArrow(_merge(), "host string, at string, shape string")
+    return shapes.select("host", F.col("shape").alias("template"))
 
 
 class Loaded:
-    """Templates by their text, a bounded number of them."""
+    """Templates by their packed text, a bounded number of them."""
 
     def __init__(self) -> None:
-        self.kept: dict[tuple, Slot] = {}
+        self.kept: dict[bytes, Slot] = {}
 
-    def get(self, made: str, does: str = "", constants: str = "") -> Slot:
-        if (made, does) not in self.kept:
+    def get(self, packed: bytes) -> Slot:
+        if packed not in self.kept:
             if len(self.kept) > 1000:
                 self.kept.clear()
-            self.kept[made, does] = load(made, does, json.loads(constants) if constants else None)
-        return self.kept[made, does]
+            self.kept[packed] = load(*json.loads(_unpack(packed)))
+        return self.kept[packed]
+
 
+def _packed():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_pack(json.dumps([x])) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["host", "template"])
 
-MOST_COUNTS = 1 << 17
+    return run
 
 
 def _count():
@@ -681,10 +829,10 @@ def _count():
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host", "slot", "text", "pages", "chars", "links", "titled"])
 
         for batch in batches:
-            for h, page, template in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for h, made, template in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 some = counts.setdefault(h, {})
                 held -= len(some)
-                count(page or "", loaded.get(template), some)
+                count_record(made, loaded.get(template), some)
                 held += len(some)
                 if held > MOST_COUNTS:
                     yield out()
@@ -697,13 +845,14 @@ def _count():
 def _judged():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
+            hosts, made = [], []
             for h, template, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                done = judge(template, {(r["slot"], r["text"]): [r["pages"], r["chars"], r["links"], r["titled"]] for r in rows})
+                whole = json.loads(_unpack(template))[0]
+                done = judge(whole, {(r["slot"], r["text"]): [r["pages"], r["chars"], r["links"], r["titled"]] for r in rows})
                 if done:
-                    for column, x in zip(out, (h, template, done[0], json.dumps(done[1])), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], ["host", "template", "does", "constants"])
+                    hosts.append(h)
+                    made.append(_pack(json.dumps([whole, *done])))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.binary())], ["host", "wrapper"])
 
     return run
 
@@ -715,15 +864,20 @@ def _bytes(made: DataFrame) -> int:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, template, does, constants of the hosts that have enough to judge by (pages: host, url, id, html)."""
-    made = staged(templates(pages), "templates")
-    rows = pages.join(small(made, _bytes(made)), "host").select("host", "html", "template")
+    """host and wrapper (template, what its positions do, constant texts; packed) of the hosts that have enough to judge by (pages: host, html)."""
+    seen = staged(records(pages), "records")
+    made = staged(templates(seen).mapInArrow(_packed(), "host string, template binary"), "templates")
+    rows = seen.join(small(made, _bytes(made)), "host").select("host", "record", "template")
     counts = rows.mapInArrow(_count(), "host string, slot int, text string, pages long, chars long, links long, titled long")
     total = counts.groupBy("host", "slot", "text").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links", "titled")])
-    # As many rows of a host as its template has positions and texts to be counted, so its sample bounds them.
-    by_host = total.groupBy("host").agg(F.collect_list(F.struct("slot", "text", "pages", "chars", "links", "titled")).alias("counts"))
+    total = staged(total.where((F.col("text") == "") | (F.col("pages") >= LEAST)), "counts")
+    places = total.where(F.col("text") == "")
+    every = places.select("host", "slot", F.col("pages").alias("every"))
+    texts = total.where(F.col("text") != "").join(small(every, every.count()), ["host", "slot"]).where(F.col("pages") >= SHARE * F.col("every")).drop("every")
+    # As many rows of a host as its template has positions, and for each the few texts that may be constant.
+    by_host = places.unionByName(texts).groupBy("host").agg(F.collect_list(F.struct("slot", "text", "pages", "chars", "links", "titled")).alias("counts"))
     judged = by_host.join(made, "host").select("host", "template", "counts")
-    return judged.mapInArrow(_judged(), "host string, template string, does string, constants string")
+    return judged.mapInArrow(_judged(), "host string, wrapper binary")
 
 
 def _extract():
@@ -731,8 +885,8 @@ def _extract():
         loaded = Loaded()
         for batch in batches:
             out = [[], [], [], []]
-            for page, template, does, constants in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                for column, x in zip(out, extract(page, loaded.get(template, does, constants) if template else None), strict=True):
+            for page, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for column, x in zip(out, extract(page, loaded.get(packed) if packed else None), strict=True):
                     column.append(x)
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["page_id", "url", "text", "rule", "cut_aligned", "cut_marked"])
@@ -749,5 +903,5 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         made = keep(staged(wrappers(rows), "wrappers"))
     rows = rows.join(small(made, _bytes(made)), "host", "left")
     kind = pages.schema[id_col].dataType.simpleString()
-    out = rows.select(F.col("id").alias("page_id"), "url", "html", "template", "does", "constants").mapInArrow(_extract(), f"page_id {kind}, url string, text string, rule string, cut_aligned long, cut_marked long")
+    out = rows.select(F.col("id").alias("page_id"), "url", "html", "wrapper").mapInArrow(_extract(), f"page_id {kind}, url string, text string, rule string, cut_aligned long, cut_marked long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "rule", "cut_aligned", "cut_marked")

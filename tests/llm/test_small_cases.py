@@ -565,6 +565,45 @@ def test_positions_decide_without_any_mark():
     assert wrapper.extract("<article>Elsewhere</article><nav>m</nav>", slot) == ("Elsewhere", "marks", 0, 1)
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_every_page_of_a_host_is_learned_from(spark, limit, monkeypatch):
+    """What stands on few of a host's many pages is counted, and copies of one page keep no others from it."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n))
+    rows, gold = [], {}
+    for i in range(300):
+        text, rare = say(60), "<div class=q7><p>Seen on few pages</p></div>" if i % 25 == 0 else ""
+        rows.append((i, f"http://rare.example/{i}", f"<div class=q1>{say(2)}</div><div class=q3 id=n{i}><p>{text}</p>{rare}</div>"))
+        gold[i] = text
+    for i in range(300, 620):
+        if i == 300 or i > 611:  # 312 copies of one page and 8 others
+            text, top = say(60), say(2)
+        rows.append((i, f"http://copies.example/{i}", f"<div class=q1>{top}</div><div class=q3><p>{text}</p><p>Always the same</p></div>"))
+        gold[i] = text
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.rule) for r in wrapper.main_texts(table).collect()}
+    assert got == {i: (text, "aligned") for i, text in gold.items()}
+
+
+def test_templates_of_a_table_are_those_of_one_place(spark):
+    rng = np.random.default_rng(7)
+    pages = []
+    for i in range(400):
+        parts = "".join(f"<{t}>{t} {i}</{t}>" for t in rng.choice(["p", "h2", "ul", "pre", f"section id=s{i}"], rng.integers(1, 9)))
+        pages.append((f"h{i % 3}", f"<div class=a>{i % 7}</div><div id=post-{i}>{parts}</div>"))
+    pages += [("few", "<p>a"), ("few", "<p>b")] * 9
+    seen = wrapper.records(spark.createDataFrame(pages, "host string, html string"))
+    got = {r.host: r.template for r in wrapper.templates(seen).collect()}
+    for host in ("h0", "h1", "h2"):
+        template = wrapper.Template()
+        for h, page in pages:
+            if h == host:
+                template.add(page)
+        assert got.pop(host) == template.made()
+    assert not got
+
+
 def test_marks_are_whole_names():
     page = '<article><h1>T</h1><p class="related-work">a</p><div id="social-history">b</div><div class="related-posts">c</div><div class="x comment-list">d</div><div id="ad-300x250">e</div><div class="site-footer">f</div><p>end</p></article>'
     assert wrapper.extract(page)[:2] == ("T\na\nb\nend", "marks")
