@@ -60,6 +60,7 @@ TEXT = 200  # code points a page, on average, below which a position whose own m
 PART = 2  # hexadecimal digits of the digests of shapes that are merged in one task: 256 parts of a host
 MOST_COUNTS = 1 << 17  # entries that a task holds before it gives them on
 CELLS = 1 << 21  # pairs of children above which a table is split, so that memory stays bounded; the result is as large
+SPARSE = 32  # pairs of children for one that may pair, beyond which only those are gone through
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*+)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -283,11 +284,20 @@ def prune(root: Node) -> tuple[Node, int]:
 class Slot:
     """A position: its kind, the positions below it, the nodes of one page that stand there (or what is seen of them), and what is known of it."""
 
-    __slots__ = ("constant", "does", "kids", "kind", "names", "nodes", "number")
+    __slots__ = ("constant", "does", "kids", "kind", "names", "nodes", "number", "places")
 
     def __init__(self, kind: str, kids: list[Slot] | None = None, nodes: list[Node] | None = None) -> None:
         self.kind, self.kids, self.nodes = kind, kids or [], nodes or []
         self.constant, self.does, self.names, self.number = frozenset(), "", frozenset(), 0
+        self.places: dict[str, list[int]] | None = None
+
+    def by_kind(self) -> dict[str, list[int]]:
+        """The places among the positions below of each kind; made once, so that a page's cost isn't that of a wide template."""
+        if self.places is None:
+            self.places = {}
+            for i, kid in enumerate(self.kids):
+                self.places.setdefault(kid.kind, []).append(i)
+        return self.places
 
 
 def _totals(weights: np.ndarray) -> np.ndarray:
@@ -321,35 +331,58 @@ def alignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return pairs[::-1]
 
 
+def chain(matches: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """As `alignment`, from the pairs that have a weight (row, column, weight), for tables in which few have."""
+    columns = {j: k for k, j in enumerate(sorted({j for _, j, _ in matches}), 1)}
+    tree = [(0, -1)] * (len(columns) + 1)  # the best chain that ends in some first columns, by its last match
+    order = sorted(matches, key=lambda x: (x[0], -x[1]))  # a row's columns from the right, so that none follows another
+    before = []
+    for n, (_, j, w) in enumerate(order):
+        k, best = columns[j] - 1, (0, -1)
+        while k:
+            if tree[k][0] > best[0]:
+                best = tree[k]
+            k &= k - 1
+        before.append(best[1])
+        k, total = columns[j], best[0] + w
+        while k < len(tree):
+            if tree[k][0] < total:
+                tree[k] = (total, n)
+            k += k & -k
+    n, pairs = max(tree, key=lambda x: x[0])[1], []
+    while n >= 0:
+        pairs.append(order[n][:2])
+        n = before[n]
+    return pairs[::-1]
+
+
 def pairing(a: Slot, b: Slot) -> tuple[dict[tuple[int, int], list[tuple[int, int]]], int]:
     """For pairs of positions with positions below: which of those pair; and how many nodes of both trees pair, a and b being a pair."""
-    todo, seen = [(a, b)], set()
+    todo = [(a, b)]
     for s, n in todo:  # grows; those below come after
-        if s.kids and n.kids:
-            by_kind: dict[str, list[Slot]] = {}
+        if s.kids:
+            places = s.by_kind()
             for y in n.kids:
                 if y.kids:
-                    by_kind.setdefault(y.kind, []).append(y)
-            for x in s.kids:
-                for y in by_kind.get(x.kind, ()) if x.kids else ():
-                    if (id(x), id(y)) not in seen:
-                        seen.add((id(x), id(y)))
-                        todo.append((x, y))
+                    todo += [(s.kids[i], y) for i in places.get(y.kind, ()) if s.kids[i].kids]
     weight: dict[tuple[int, int], int] = {}
     plan: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for s, n in reversed(todo):
-        kinds, others = [x.kind for x in s.kids], [y.kind for y in n.kids]
-        if kinds == others and len(set(kinds)) == len(kinds):  # nothing pairs more than all in their order
-            pairs = [(i, i) for i in range(len(kinds))]
+        places = s.by_kind()
+        if len(s.kids) == len(n.kids) == len(places) and all(x.kind == y.kind for x, y in zip(s.kids, n.kids, strict=True)):  # nothing pairs more than all in their order
+            pairs = [(i, i) for i in range(len(s.kids))]
         else:
-            places: dict[str, list[int]] = {}
-            for j, kind in enumerate(others):
-                places.setdefault(kind, []).append(j)
-            weights = np.zeros((len(kinds), len(others)), np.int32)
-            for i, x in enumerate(s.kids):
-                for j in places.get(x.kind, ()):
-                    weights[i, j] = weight.get((id(x), id(n.kids[j])), 1)
-            pairs = alignment(weights)
+            columns = [j for j, y in enumerate(n.kids) if y.kind in places]
+            rows = sorted({i for kind in {n.kids[j].kind for j in columns} for i in places[kind]})
+            if sum(len(places[n.kids[j].kind]) for j in columns) * SPARSE < len(rows) * len(columns):
+                pairs = chain([(i, j, weight.get((id(s.kids[i]), id(n.kids[j])), 1)) for j in columns for i in places[n.kids[j].kind]])
+            else:
+                row = {i: k for k, i in enumerate(rows)}
+                weights = np.zeros((len(rows), len(columns)), np.int32)
+                for k, j in enumerate(columns):
+                    for i in places[n.kids[j].kind]:
+                        weights[row[i], k] = weight.get((id(s.kids[i]), id(n.kids[j])), 1)
+                pairs = [(rows[i], columns[k]) for i, k in alignment(weights)]
         plan[id(s), id(n)] = pairs
         weight[id(s), id(n)] = 1 + sum(weight.get((id(s.kids[i]), id(n.kids[j])), 1) for i, j in pairs)
     return plan, weight[id(a), id(b)]
@@ -376,7 +409,7 @@ def merge(a: Slot, b: Slot) -> None:
             kids += s.kids[i:x] + n.kids[j:y] + [s.kids[x]]
             stack.append((s.kids[x], n.kids[y]))
             i, j = x + 1, y + 1
-        s.kids = kids + s.kids[i:] + n.kids[j:]
+        s.kids, s.places = kids + s.kids[i:] + n.kids[j:], None
 
 
 def fold(root: Node) -> Slot:
@@ -456,7 +489,7 @@ def renamed(top: Slot, names: frozenset[str]) -> Slot:
                 merge(kids[-1], kid)
             else:
                 kids.append(kid)
-        slot.kids = kids
+        slot.kids, slot.places = kids, None
     return top
 
 

@@ -666,6 +666,33 @@ def test_long_rows_are_aligned_as_short_ones(monkeypatch):
     assert whole[0] == whole[1]
 
 
+def test_few_pairs_are_aligned_as_whole_tables():
+    rng = np.random.default_rng(8)
+    for share in (0.02, 0.2, 1.0):
+        for _ in range(60):
+            weights = rng.integers(1, 5, (rng.integers(1, 30), rng.integers(1, 30))) * (rng.random() < share)
+            weights *= rng.random(weights.shape) < share
+            pairs = wrapper.chain([(int(i), int(j), int(weights[i, j])) for i, j in zip(*weights.nonzero(), strict=True)] or [(0, 0, 0)])
+            pairs = [p for p in pairs if weights[p]]
+            assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+            assert sum(weights[p] for p in pairs) == sum(weights[p] for p in wrapper.alignment(weights))
+
+
+def test_a_wide_template_costs_a_page_no_more(monkeypatch):
+    """Many names that come again in any order make a wide template; a page is aligned by its own names."""
+    rng = np.random.default_rng(9)
+    template = wrapper.Template()
+    for i in range(1500):
+        template.add("".join(f"<div class=c{c}>{i}</div>" for c in rng.integers(0, 300, 12)))
+    top = wrapper.load(template.made())
+    assert len(top.kids) > 1000
+    rows, whole = [], wrapper.alignment
+    monkeypatch.setattr(wrapper, "alignment", lambda weights: rows.append(weights.shape[0]) or whole(weights))
+    for made in sorted(template.known)[:50]:
+        wrapper.count_record(made, top, {})
+    assert len(rows) == 50 and max(rows) < len(top.kids) / 4
+
+
 # --- quality ------------------------------------------------------------------------------------
 
 
