@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions import settings as options, translate
 from ..operators import binary, findings, hits
 from ..operators.clean import clean, normalized
-from ..shipping import ship
+from ..shipping import PIECE, pieces, ship
 from ..sources import files, runs, staged
 from ..streaming import live
 from .catalog import ARTIFACT_SQL, BIDI, GONE, HITS_SQL, MODULUS, RULES, query, quoted, seeded, source, table
@@ -422,7 +422,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _put(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             names = batch.column(0).to_pylist()
             for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
                 path = os.path.join(folder, name)
@@ -462,10 +462,12 @@ def files_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _got(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each path: the file's bytes and mode, and those of its backup."""
+    """With each path (the first column): the file's bytes and mode, those of its backup, and whether its folder holds no name with a dot in front."""
+    tidy: dict[str, bool] = {}
+    kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_())
     for batch in batches:
-        rows = []
-        for path in batch.column(0).to_pylist():
+        paths, rows, start, size = batch.column(0).to_pylist(), [], 0, 0
+        for k, path in enumerate(paths):
             parts = []
             for name in (path, path + ".bak"):
                 try:
@@ -473,9 +475,16 @@ def _got(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         parts.append(file.read())
                 except OSError:
                     parts.append(None)
-            rows.append((path, *parts, os.stat(path).st_mode & 0o777, sorted(os.listdir(os.path.dirname(path)))[0][0] != "."))
-        kinds = (pa.string(), pa.binary(), pa.binary(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["path", "now", "before", "mode", "tidy"])
+            folder = os.path.dirname(path)
+            if folder not in tidy:  # a folder is looked through once, not for each of its files
+                with os.scandir(folder) as found:
+                    tidy[folder] = not any(e.name.startswith(".") for e in found)
+            rows.append((*parts, os.stat(path).st_mode & 0o777, tidy[folder]))
+            size += sum(len(x or b"") for x in parts)
+            if size >= PIECE or k + 1 == len(paths):
+                made = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, k + 1 - start) for c in batch.columns), *made], [*batch.schema.names, "now", "before", "mode", "tidy"])
+                rows, start, size = [], k + 1, 0
 
 
 @query(
@@ -492,10 +501,7 @@ def files_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
     folder = _filled(spark, "fixed", rows.select(name.alias("name"), F.when(odd, F.unhex(F.lit("FFFE"))).otherwise(F.encode("text", "UTF-8")).alias("content")))
     how = options.checked({"layers": ["artifacts"], "max_file_bytes": 6000})
-    told = [(r["path"], r["changed"], next((f["message"] for f in r["findings"] if f["layer"] == "io"), "")) for r in runs.reports(spark, [folder], how, True)]
-    reports = spark.createDataFrame(told, "path string, changed boolean, message string")
-    now = reports.select("path").mapInArrow(_got, "path string, now binary, before binary, mode int, tidy boolean")
-    done = reports.join(now, "path")
+    done = runs.outcomes(spark, [folder], how, True).mapInArrow(_got, "path string, changed boolean, message string, now binary, before binary, mode int, tidy boolean")
     return done.select(F.substring("path", len(folder) + 2, 100).alias("name"), "changed", F.sha2("now", 256).alias("now"), F.sha2("before", 256).alias("before"), "mode", "tidy", "message")
 
 

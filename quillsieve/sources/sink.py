@@ -62,13 +62,14 @@ def _replace_uri(path: str, content: bytes, backup: bool) -> None:
         raise
 
 
-def write_in_place(files: DataFrame, backup: bool = True) -> DataFrame:
-    """files: path, cleaned (bytes or null). Writes where a file changes, from the executors; gives path and what failed (or null)."""
+def write_in_place(files: DataFrame, backup: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """files: path, cleaned (bytes or null). Writes where a file changes, from the executors; gives path, what failed (or null), and the columns to keep."""
+    from ..shipping import pieces, ship
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches, 1):
             failed = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
@@ -81,12 +82,11 @@ def write_in_place(files: DataFrame, backup: bool = True) -> DataFrame:
                     failed.append("skipped (permission denied)")
                 except OSError:
                     failed.append("skipped (i/o error)")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(failed, pa.string())], ["path", "failed"])
-
-    from ..shipping import ship
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(failed, pa.string()), *batch.columns[2:]], ["path", "failed", *keep])
 
     ship(files.sparkSession)
-    return files.select("path", F.col("cleaned").cast("binary")).mapInArrow(run, "path string, failed string")
+    schema = ", ".join(["path string, failed string", *(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)])
+    return files.select("path", F.col("cleaned").cast("binary"), *keep).mapInArrow(run, schema)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
