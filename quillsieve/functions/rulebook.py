@@ -18,7 +18,17 @@ FOLD = str.maketrans({"ı": "i", "İ": "i", "ſ": "s"})
 
 def fold(text: str) -> str:
     """Text in which a word that a pattern finds ignoring case is found as it is."""
-    return text.translate(FOLD).casefold()
+    return evened(text).casefold()
+
+
+def evened(text: str) -> str:
+    """Text without those characters; a table costs more than asking whether there are any."""
+    return text.translate(FOLD) if any(chr(c) in text for c in FOLD) else text
+
+
+def levelled(text: str) -> str:
+    """As fold(), with a character for each of the text, for words of ASCII letters and these: äöüß."""
+    return evened(text).lower()
 
 
 def inside(code: int, spans: list[Span]) -> bool:
@@ -85,6 +95,15 @@ class Shape:
         singles = [[w] for w in re.findall(r"[^\W\d_]+", re.sub(r"\([^()]*\)", " ", plain))]
         return max((g for g in groups + singles if all(re.fullmatch(r"[^\W\d_]+", w) for w in g)), key=lambda g: min(map(len, g)))
 
+    def needs(self) -> list[list[str]]:
+        """Groups of words, of each of which one stands in every match; none where the source isn't of the plain kind."""
+        if not re.fullmatch(r"(?:[^\W\d_]|[ ,'_#]|<[^>]*>|\([^()]*\)\??)*", self.source):
+            return []
+        plain = re.sub(r"<[^>]*>", " ", re.sub(r"\([^()]*\)\?", " ", self.source))
+        groups = [g.split("|") for g in re.findall(r"\(([^()]*)\)", plain)]
+        singles = [[w] for w in dict.fromkeys(re.findall(r"[^\W\d_]+", re.sub(r"\([^()]*\)", " ", plain)))]
+        return [g for g in groups + singles if all(re.fullmatch(r"[^\W\d_]+", w) for w in g)]
+
 
 # A sentence end takes the blank after it with it.
 def _shape_source(text: str) -> str:

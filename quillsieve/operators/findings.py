@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +15,30 @@ def exploded(reports: DataFrame, *keys: str, report: str = "report") -> DataFram
 
 
 def merged(findings: DataFrame, *keys: str) -> DataFrame:
-    """Findings of equal layer, kind, severity and message as one: counts added, the first examples, counts by rule added."""
+    """Findings of equal layer, kind, severity and message as one: counts added, the first examples, counts by rule added.
+
+    The findings are gone through once: each gives a row for itself, for each example and for each rule.
+    """
     same = [*keys, "layer", "kind", "severity", "message"]
-    whole = findings.groupBy(*same).agg(F.sum("count").alias("count"), F.min("ord").alias("ord"))
+    itself, example, rule = (F.lit(k).cast("byte") for k in range(3))
+    place = lambda at: F.shiftleft(F.col("ord").cast("long"), 32) + at
+    row = lambda what, name, first, n: F.struct(what.alias("what"), name.cast("string").alias("name"), first.alias("first"), n.cast("long").alias("n"))
+    rows = F.concat(
+        F.array(row(itself, F.lit(None), place(F.lit(0)), F.col("count"))),
+        F.coalesce(F.transform("examples", lambda e, at: row(example, e, place(at), F.lit(None))), F.array()),
+        F.coalesce(F.transform(F.map_entries("by_rule"), lambda r: row(rule, r["key"], F.lit(None).cast("long"), r["value"])), F.array()),
+    )
+    each = findings.select(*same, F.inline(rows)).groupBy(*same, "what", "name").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     # Each example once, by its first place; of these the first few, so no more than they are ever gathered.
-    each = findings.select(*same, "ord", F.posexplode("examples").alias("at", "example")).groupBy(*same, "example").agg(F.min(F.struct("ord", "at")).alias("first"))
-    some = each.withColumn("rank", F.row_number().over(Window.partitionBy(*same).orderBy("first", "example"))).where(F.col("rank") <= EXAMPLES)
-    some = some.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("rank", "example"))).alias("some")).select(*same, F.transform("some", lambda s: s["example"]).alias("examples"))
-    rules = findings.select(*same, F.explode("by_rule").alias("rule", "n")).groupBy(*same, "rule").agg(F.sum("n").alias("n"))
-    rules = rules.groupBy(*same).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "n")))).alias("by_rule"))
-    none = F.create_map().cast("map<string,bigint>")
-    # Findings without a key, or of a null one, are held together by a comparison that takes nulls as equal.
-    for part in (some, rules):
-        named = part.select(*[F.col(c).alias(f"of_{c}") if c in same else F.col(c) for c in part.columns])
-        whole = whole.join(named, reduce(and_, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in same)), "left").drop(*(f"of_{c}" for c in same))
-    return whole.withColumn("examples", F.coalesce("examples", F.array().cast("array<string>"))).withColumn("by_rule", F.coalesce("by_rule", none))
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy(*same, "what").orderBy("first", "name"))).where((F.col("what") != example) | (F.col("rank") <= EXAMPLES))
+    of = lambda what, x: F.when(F.col("what") == what, x)
+    some = F.array_sort(F.collect_list(of(example, F.struct("rank", "name"))))
+    return each.groupBy(*same).agg(
+        F.sum(of(itself, F.col("n"))).alias("count"),
+        F.shiftright(F.min(of(itself, F.col("first"))), 32).cast("int").alias("ord"),
+        F.transform(some, lambda s: s["name"]).alias("examples"),
+        F.map_from_entries(F.array_sort(F.collect_list(of(rule, F.struct("name", "n"))))).alias("by_rule"),
+    )
 
 
 def by_severity(findings: DataFrame, *keys: str) -> DataFrame:

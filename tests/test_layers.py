@@ -180,3 +180,25 @@ def test_twice_is_once(text):
     twice, f = clean(once)
     assert twice == once
     assert not [x for x in f if x["severity"] == "fixed"]
+
+
+def test_phrases_are_found_as_by_their_patterns():
+    import random
+
+    some = random.Random(1)
+    rules = rulebook.load()
+    phrases = [(p, False) for p in [*rules.banned, *rules.fillers, "a b a", "  two", "x", "...", "é plus"]] + [(w, True) for w in rules.lexicon]
+    for _ in range(3000):
+        text = ""
+        for _ in range(some.randrange(1, 6)):
+            p = some.choice(phrases)[0]
+            text += some.choice([p, p.upper(), p.replace(" ", "\n "), p.replace("'", "’"), p.replace("s", "ſ"), p.replace("i", "İ"), p.replace("k", "\u212a")]) + some.choice([" ", "  ", ", ", "", "_", "9", "ß", "İ", "."])
+        for p, plain in some.sample(phrases, 12) + [x for x in phrases if x[0] in text][:6]:
+            made = layers.Phrase(p, plain)
+            assert made.spans(layers.Level(text)) == [m.span() for m in made.whole.finditer(text)], (p, text)
+
+
+def test_words_of_many_texts_choose_no_phrase():
+    words = layers.voice_of(checked({}), rulebook.load()).words
+    assert not words.candidates("that is the end of it, being at rest as the others are")
+    assert ("banned", "at the end of the day") in words.candidates("at the end of the day") and ("shape", "copula-avoidance") in words.candidates("it serves as a")

@@ -100,3 +100,18 @@ def test_sql_names(spark):
     register(spark)
     row = spark.sql("SELECT clean_text(t) AS c, text_findings(t) AS f, text_phrases(t) AS p, clean_text(CAST(NULL AS STRING)) AS n FROM (SELECT 'a“b” we delve into it' AS t)").first()
     assert row.c == 'a"b" we delve into it' and '"smart-quote"' in row.f and row.p.startswith("[[8, 18") and row.n is None
+
+
+def test_merged_goes_through_texts_once(spark):
+    rows = spark.createDataFrame([(1, "We delve into it. `x` We dive deep, delve."), (1, "We dive into it."), (None, "Moreover, we delve into it."), (2, "plain")], "k long, text string")
+    made = findings.merged(findings.exploded(clean(rows, settings={"layers": ["voice"]}), "k"), "k")
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {(r.k, r.kind): (r.severity, r["count"], r.ord, r.examples, dict(r.by_rule)) for r in made.collect()}
+    assert got == {
+        (1, "banned-phrase"): ("error", 3, 0, ["delve into", "dive into", "dive deep"], {"delve into": 1, "dive into": 1, "dive deep": 1}), (1, "lexicon"): ("warn", 2, 1, ["delve"], {"delve": 2}),
+        (None, "banned-phrase"): ("error", 1, 0, ["delve into"], {"delve into": 1}), (None, "lexicon"): ("warn", 2, 1, ["delve", "moreover"], {"delve": 1, "moreover": 1}),
+    }
+    assert made.columns == ["k", "layer", "kind", "severity", "message", "count", "ord", "examples", "by_rule"]
+    none = spark.createDataFrame([(1, "a", "b", "warn", "m", 2, 0, None, None)], "k int, layer string, kind string, severity string, message string, count long, ord int, examples array<string>, by_rule map<string,bigint>")
+    (row,) = findings.merged(none, "k").collect()
+    assert (row["count"], row.ord, row.examples, row.by_rule) == (2, 0, [], {})
