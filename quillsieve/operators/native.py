@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layers import ARTIFACTS, UPLOAD, protected_pattern
+from ..functions.layers import ARTIFACTS, UPLOAD, protected_pattern, rarity, runs_of
 from ..functions.rulebook import Rulebook, Span, bounded, coarse_class, java_class, java_word, load, phrase_body
 
 LETTERS = "[\\p{L}\\p{Nl}\\p{No}]+"
@@ -215,23 +215,32 @@ def word_count(text: Column, word: str) -> Column:
     return F.regexp_count(text, F.lit(java_word(word))).cast("long")
 
 
-def any_of(text: Column, patterns: list[str]) -> Column:
-    """Whether any of many patterns may match: one alternation, tested before they are counted one by one."""
-    return text.rlike("(?iu)" + "|".join(f"(?:{p.removeprefix('(?iu)')})" for p in patterns))
+def total(text: Column, patterns: dict[str, str]) -> Column:
+    """The sum of the counts of many phrases (with their patterns); one is counted only where all of its words stand.
 
+    A phrase doesn't touch letters, so each run of letters in it is one between other characters of the text.
+    """
+    words = {p: sorted({m[0].lower() for m in runs_of(p)}, key=rarity, reverse=True) for p in patterns}
+    needed = F.array(*[F.lit(w) for w in sorted({w for some in words.values() for w in some})])
 
-def total(text: Column, patterns: list[str]) -> Column:
-    """The sum of the counts of many patterns; texts that match none are counted nowhere."""
-    counts = F.aggregate(F.array(*[F.regexp_count(text, F.lit(p)).cast("long") for p in patterns]), F.lit(0).cast("long"), lambda a, b: a + b)
-    return F.when(any_of(text, patterns), counts).otherwise(F.lit(0).cast("long"))
+    def counts(there: Column) -> Column:
+        def count(phrase: str, pattern: str) -> Column:
+            counted = F.regexp_count(text, F.lit(pattern)).cast("long")
+            return F.when(reduce(and_, (F.array_contains(there, w) for w in words[phrase])), counted).otherwise(F.lit(0).cast("long")) if words[phrase] else counted
 
+        return F.array(*[count(*x) for x in patterns.items()])
 
-def banned_patterns(rules: Rulebook | None = None) -> list[str]:
-    return [bounded(phrase_body(p, True), True) for p in (rules or load()).banned]
+    # In an array of one, so that the words are looked for once and not for each phrase.
+    found = F.flatten(F.transform(F.array(F.array_intersect(F.split(lowered(text), "[^\\p{L}]+"), needed)), counts))
+    return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(found, F.lit(0).cast("long"), lambda a, b: a + b))
 
 
-def lexicon_patterns(rules: Rulebook | None = None) -> list[str]:
-    return [java_word(w) for w in (rules or load()).lexicon]
+def banned_patterns(rules: Rulebook | None = None) -> dict[str, str]:
+    return {p: bounded(phrase_body(p, True), True) for p in (rules or load()).banned}
+
+
+def lexicon_patterns(rules: Rulebook | None = None) -> dict[str, str]:
+    return {w: java_word(w) for w in (rules or load()).lexicon}
 
 
 def lowered(text: Column) -> Column:

@@ -115,3 +115,15 @@ def test_merged_goes_through_texts_once(spark):
     none = spark.createDataFrame([(1, "a", "b", "warn", "m", 2, 0, None, None)], "k int, layer string, kind string, severity string, message string, count long, ord int, examples array<string>, by_rule map<string,bigint>")
     (row,) = findings.merged(none, "k").collect()
     assert (row["count"], row.ord, row.examples, row.by_rule) == (2, 0, [], {})
+
+
+def test_phrases_are_counted_where_their_words_stand(spark):
+    texts = [None, "", "We DELVE INTO it, delve  into, delveinto", "9delve into", "ſhed light on", "it\u2019s worth noting it's worth noting", "MA\u1e9eGESCHNEIDERT nahtlos", "\u212aey takeaways", "\u0130ndeed ındeed indeed_", "that said", "said that", "game-changer,game-changer"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    t = F.col("text")
+    done = rows.select("id", native.total(t, native.banned_patterns()).alias("b"), native.total(t, native.lexicon_patterns()).alias("w"))
+    assert "(?iu)(?:" not in done._jdf.queryExecution().optimizedPlan().toString()  # no pattern of all phrases is tried on every text
+    one = lambda patterns: sum(F.coalesce(F.regexp_count(t, F.lit(p)), F.lit(0)) for p in patterns.values())
+    whole = {r.id: (r.b, r.w) for r in rows.select("id", one(native.banned_patterns()).alias("b"), one(native.lexicon_patterns()).alias("w")).collect()}
+    got = {r.id: (r.b, r.w) for r in done.collect()}
+    assert got == whole and [got[i][0] for i in (2, 4, 5, 7, 11)] == [2, 1, 2, 1, 2] and got[8][1] == 2 and got[6][1] == 2
