@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import layers, settings as options
 from ..functions.rulebook import load
-from ..shipping import ship
+from ..shipping import pieces, ship
 
 FINDING = "struct<layer:string,kind:string,severity:string,message:string,count:bigint,examples:array<string>,by_rule:map<string,bigint>>"
 COUNTS = "struct<fixed:bigint,warn:bigint,error:bigint,info:bigint>"
@@ -45,12 +45,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _clean(how: dict, home: str | None, names: list[str]):
+def _clean(how: dict, home: str | None, names: list[str], at: int = -1):
+    """The text is column `at`, or else one in front that isn't given back."""
+    first = int(at < 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = load(home)
-        for batch in batches:
+        for batch in pieces(batches, max(0, at)):
             cleaned, reports = [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(max(0, at)).to_pylist():
                 if text is None:
                     cleaned.append(None)
                     reports.append(None)
@@ -60,8 +63,8 @@ def _clean(how: dict, home: str | None, names: list[str]):
                 made = report(text, after, findings)
                 made["findings"] = [f | {"by_rule": list(f["by_rule"].items())} for f in findings]
                 reports.append(made)
-            columns = [*batch.columns[1:], pa.array(cleaned, pa.string()), pa.array(reports, REPORT_ARROW)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], *names])
+            columns = [*batch.columns[first:], pa.array(cleaned, pa.string()), pa.array(reports, REPORT_ARROW)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[first:], *names])
 
     return run
 
@@ -71,8 +74,10 @@ def clean(df: DataFrame, text_col: str = "text", settings: dict | None = None, r
     ship(df.sparkSession)
     names = fresh(df, "cleaned", "report")
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns] + [f"`{names[0]}` string", f"`{names[1]}` {REPORT}"])
-    rows = df.select(F.col(text_col).cast("string").alias("clean_text__"), *[F.col(f"`{c}`") for c in df.columns])
-    return rows.mapInArrow(_clean(options.checked(settings or {}), rules_home, names), schema)
+    # A column of strings goes to the workers once, not as the text and as a column to give back.
+    at = df.columns.index(text_col) if dict(df.dtypes).get(text_col) == "string" and df.columns.count(text_col) == 1 else -1
+    rows = df if at >= 0 else df.select(F.col(text_col).cast("string").alias("clean_text__"), *[F.col(f"`{c}`") for c in df.columns])
+    return rows.mapInArrow(_clean(options.checked(settings or {}), rules_home, names, at), schema)
 
 
 def _normalize(form: str):

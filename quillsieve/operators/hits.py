@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import layers, settings as options
 from ..functions.rulebook import load
-from ..shipping import ship
+from ..shipping import pieces, ship
 
 HIT = "struct<start:int,end:int,kind:string,id:string,severity:string,text:string>"
 CLASS = "struct<index:int,char:string,code:int,action:string,name:string>"
@@ -39,7 +39,7 @@ def _classes(how: dict, every: bool):
 def _rows(make, how: dict, kind, *more):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make(how, *more)
-        for batch in batches:
+        for batch in pieces(batches):
             made = [one(t) if t is not None else [] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made, kind)], [*batch.schema.names[1:], "hits_found__"])
 

@@ -127,3 +127,18 @@ def test_phrases_are_counted_where_their_words_stand(spark):
     whole = {r.id: (r.b, r.w) for r in rows.select("id", one(native.banned_patterns()).alias("b"), one(native.lexicon_patterns()).alias("w")).collect()}
     got = {r.id: (r.b, r.w) for r in done.collect()}
     assert got == whole and [got[i][0] for i in (2, 4, 5, 7, 11)] == [2, 1, 2, 1, 2] and got[8][1] == 2 and got[6][1] == 2
+
+
+def test_workers_hold_pieces_of_batches():
+    import pyarrow as pa
+
+    from quillsieve.operators import clean as cleaner
+    from quillsieve.operators import hits
+    from quillsieve.shipping import PIECE, pieces
+
+    texts = [None, "x" * (PIECE + 5), "", *["ab " * 100_000] * 9, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], ["text", "k"])
+    how = checked({"layers": ["voice"]})
+    for run in (lambda b: pieces(b), cleaner._clean(how, None, ["cleaned", "report"]), hits._rows(hits._hits, how, hits.HIT_ARROW)):
+        made = list(run(iter([batch, batch.slice(3, 4), batch.slice(0, 0)])))
+        assert [k for b in made for k in b.column("k").to_pylist()] == [*range(len(texts)), 3, 4, 5, 6] and max(b.num_rows for b in made) == 4
