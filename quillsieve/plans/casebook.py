@@ -581,7 +581,8 @@ def stream_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files, cleaned until no more are there."""
     out = "file://" + _folder(spark, "stream")
     held = _documents(spark, sf_dir)
-    held.where(F.col("text").isNotNull()).repartition(4).write.parquet(f"{out}/in")
-    stream = live.read(spark, f"{out}/in", held.schema, files_a_step=2)
+    # As many files as parts are read, so that no task grows with the table; each step takes one for each core.
+    held.where(F.col("text").isNotNull()).write.parquet(f"{out}/in")
+    stream = live.read(spark, f"{out}/in", held.schema, files_a_step=max(2, spark.sparkContext.defaultParallelism))
     live.run_available(live.cleaned(stream, settings={"layers": ["characters"]}).select("doc_id", "cleaned"), f"{out}/out", f"{out}/state")
     return spark.read.schema(f"doc_id {held.schema['doc_id'].dataType.simpleString()}, cleaned string").parquet(f"{out}/out")

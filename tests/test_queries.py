@@ -142,3 +142,16 @@ def test_workers_hold_pieces_of_batches():
     for run in (lambda b: pieces(b), cleaner._clean(how, None, ["cleaned", "report"]), hits._rows(hits._hits, how, hits.HIT_ARROW)):
         made = list(run(iter([batch, batch.slice(3, 4), batch.slice(0, 0)])))
         assert [k for b in made for k in b.column("k").to_pylist()] == [*range(len(texts)), 3, 4, 5, 6] and max(b.num_rows for b in made) == 4
+
+
+def test_stream_is_read_as_the_table_is(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"a​{i}" if i % 5 else None) for i in range(400)], "doc_id long, text string")
+    rows.repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a part for each file
+    try:
+        done = casebook.stream_clean(spark, str(tmp_path))
+        made = {r.f for r in done.select(F.input_file_name().alias("f")).collect()}
+        assert {r.doc_id: r.cleaned for r in done.collect()} == {i: f"a{i}" for i in range(400) if i % 5} and len(made) == 9
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
